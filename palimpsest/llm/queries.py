@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from .base import documents
 from .license_scan import license_scan
+from .packing import pack
 from .quality import quality_rules
 from .secret_scan import secret_scan
 from .sharding import hilbert_shards
 from .token_counts import token_counts
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hilbert_shards(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_key")
@@ -38,6 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_curve_packing": op1_curve_packing,
         "op3_hilbert_shards": op3_hilbert_shards,
         "op6_token_counts": op6_token_counts,
         "op7_license_scan": op7_license_scan,
