@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .base import materialise, text_batches
 from .hilbert import hilbert_index
-from .pretokens import Encoder
+from .pretokens import FastIds
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH, END_ID = 1024, 0
@@ -61,25 +61,24 @@ _ENCODERS: dict = {}
 
 
 def _encoder(path: str) -> tuple:
-    if path not in _ENCODERS:  # the worker's cache outlives its tasks
-        e = Encoder(path, lambda ids: np.array(ids, "<u4").tobytes())
-        n = max(e.tokenizer.get_vocab_size(True), END_ID + 1)
+    if path not in _ENCODERS:  # kept for the worker's later tasks
+        e = FastIds(path)
+        n = max(e.size, END_ID + 1)
         _ENCODERS[path] = e, signs(n), np.dtype("<u2" if n <= 1 << 16 else "<u4")
     return _ENCODERS[path]
 
 
 def _tokenised(batches, path: str):
     encoder, table, kind = _encoder(path)
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
     for batch, texts in text_batches(batches):
         rows, vectors = [], np.zeros((len(texts), DIMS), np.float32)
-        for i, ids in enumerate(encoder.encode([t.decode() for t in texts], b"".join)):
-            ids = np.frombuffer(ids + end, "<u4")
-            kinds, counts = np.unique(ids[:-1], return_counts=True)
+        for i, ids in enumerate(encoder.encode([t.decode() for t in texts])):
+            kinds, counts = np.unique(ids, return_counts=True)
             if len(kinds):
                 w = np.log1p(counts).astype(np.float32)
                 vectors[i] = w @ table[kinds] / np.sqrt(w @ w)
-            rows.append(ids.astype(kind).tobytes())
+            rows.append(np.concatenate((ids, end)).astype(kind).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(curve_keys(vectors), pa.int64()), pa.array(map(zlib.crc32, rows), pa.int64()), pa.array(rows, pa.binary())],
             names=["doc_id", "curve_key", "tie", "ids"],

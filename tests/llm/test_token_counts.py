@@ -40,3 +40,13 @@ def test_safe_characters_agree_with_the_library():
     for c in safe[::5]:
         s = f"a{c}1"
         assert [s[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(s)] == e.find(s)
+
+
+def test_fast_ids_agree_with_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), pretokens.FastIds(path)
+    assert e.ranks is not None
+    texts = [f"a{c}1" for c in map(chr, [*range(0xD800), *range(0xE000, 0x1F650)]) if not pretokens.UNSAFE.search(c)][::3]
+    texts += ["a՘1", "", "x" * 3000, "tail <|endoftext|> text", "don't\n\n  stop\t"]
+    assert [list(x) for x in e.encode(texts)] == [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert pretokens.FastIds(public_tokenizers.path("word_bpe_49k.json")).ranks is None
