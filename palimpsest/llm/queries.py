@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .base import documents
 from .decontaminate import leaks
 from .license_scan import license_scan
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .secret_scan import secret_scan
@@ -26,6 +27,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_key")
 
 
+def op5_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_curve_packing": op1_curve_packing,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op5_lsh_forest_dedup": op5_lsh_forest_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_license_scan": op7_license_scan,
         "op8_secret_scan": op8_secret_scan,
