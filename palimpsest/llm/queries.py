@@ -16,6 +16,7 @@ from .quality import quality_rules
 from .secret_scan import secret_scan
 from .sharding import hilbert_shards
 from .token_counts import token_counts
+from .url_filters import url_verdicts
 
 
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_key")
 
 
+def op4_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_curve_packing": op1_curve_packing,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op4_redirect_verdicts": op4_redirect_verdicts,
         "op5_lsh_forest_dedup": op5_lsh_forest_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_license_scan": op7_license_scan,
