@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .base import documents
 from .decontaminate import leaks
 from .license_scan import license_scan
+from .lm_scoring import brown_scores
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
@@ -23,6 +24,10 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op2_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(documents(spark, sf_dir))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hilbert_shards(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_key")
@@ -59,6 +64,7 @@ def op10_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_curve_packing": op1_curve_packing,
+        "op2_brown_scores": op2_brown_scores,
         "op3_hilbert_shards": op3_hilbert_shards,
         "op4_redirect_verdicts": op4_redirect_verdicts,
         "op5_lsh_forest_dedup": op5_lsh_forest_dedup,
