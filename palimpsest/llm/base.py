@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 
+#: Rows of a batch that are worked on at once in Python.
+SLICE = 512
+
 _ROOTS: dict[str, str] = {}
 
 
@@ -75,9 +78,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) ->
     return n <= rows and b <= BROADCAST_BYTES
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, max(batch.num_rows, 1), SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the UTF-8 bytes of its texts; a null text counts as empty."""
-    for batch in batches:
+    for batch in slices(batches):
         raw = pc.fill_null(pc.cast(batch.column(column), pa.large_binary()), b"")
         yield batch, raw.to_pylist()
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh, materialise, map_texts, small, text_batches
+from .base import fresh, map_texts, materialise, slices, small, text_batches
 from .components import connected_components
 
 VALUES, TREES = 128, 16
@@ -35,6 +35,8 @@ DEPTHS = (4, 8, 16, 32)
 BLOCK = 1024
 #: Of exact comparison at once: classes, and shingles in all.
 CHUNK, CHUNK_SHINGLES = 512, 2_000_000
+#: Columns of the exact comparison at a time.
+COLUMNS = 1024
 #: Orders in which runs of a large region are compared before the tiles.
 RUNS = 2
 #: Classes of a crowded prefix that all others of it are compared with, besides their deeper neighbours.
@@ -224,20 +226,20 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     _, one, weight = np.unique(pattern[keep], return_index=True, return_counts=True)
     first, df = first[keep][one], df[keep][one]
     both = np.zeros((m, m), np.float64)
-    for i in range(0, len(first), 4096):
-        n = df[i : i + 4096]
+    for i in range(0, len(first), COLUMNS):
+        n = df[i : i + COLUMNS]
         col = np.repeat(np.arange(len(n)), n)
-        at = np.repeat(first[i : i + 4096] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        at = np.repeat(first[i : i + COLUMNS] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         x = np.zeros((m, len(n)), np.float64)
         x[row[at], col] = 1
-        both += (x * weight[i : i + 4096]) @ x.T
+        both += (x * weight[i : i + COLUMNS]) @ x.T
     return (100 * both >= percent * (size[:, None] + size - both)) & (size[:, None] > 0) & (size > 0)
 
 
 def _groups(batches, by: str, chunk: int | None):
     """Rows of runs of equal ``by``; with ``chunk``, runs end at that many rows or CHUNK_SHINGLES as well."""
     now, key, total = [], None, 0
-    for batch in batches:
+    for batch in slices(batches):
         cols = batch.to_pydict()
         for i, k in enumerate(cols[by]):
             if now and (k != key or chunk and (len(now) >= chunk or total >= CHUNK_SHINGLES)):

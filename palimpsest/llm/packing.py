@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import materialise, text_batches
+from .base import materialise, slices, text_batches
 from .hilbert import hilbert_index
 from .pretokens import FastIds
 
@@ -105,7 +105,7 @@ def _packed(batches, path: str, length: int, schema):
             at += len(ids)
         sequence += 1
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
             ids, at = np.frombuffer(raw, kind).astype("<u4"), 0
             while at < len(ids):
