@@ -197,4 +197,4 @@ def violations(txns: DataFrame) -> DataFrame:
 def abort_rate(outcomes: DataFrame) -> DataFrame:
     """Transactions, aborts and their share, 0 when there are none; of a boolean column ``committed``."""
     gone = F.count_if(~F.col("committed"))
-    return outcomes.agg(F.count(F.lit(1)).alias("n_txns"), gone.alias("n_aborted"), F.coalesce(gone / F.count(F.lit(1)), F.lit(0.0)).alias("abort_rate"))
+    return outcomes.agg(F.count(F.lit(1)).alias("n_txns"), gone.alias("n_aborted"), F.coalesce(F.try_divide(gone, F.count(F.lit(1))), F.lit(0.0)).alias("abort_rate"))

@@ -133,7 +133,7 @@ def scan_requests(requests: DataFrame, state: DataFrame) -> DataFrame:
 def tpcc_load(spark: SparkSession, warehouses: int, items: int, seed: int = 7) -> dict[str, DataFrame]:
     w = spark.range(1, warehouses + 1).select(F.col("id").alias("w_id"), F.format_string(KEYS["warehouse"], "id").alias("k"), F.lit(300_000).cast("long").alias("balance"))
     i = spark.range(1, items + 1).select(F.col("id").alias("item_id"), F.format_string(KEYS["item"], "id").alias("k"), (F.floor(uniform(seed, F.col("id")) * 9_901) + 100).cast("long").alias("price"))
-    s = w.select("w_id", F.explode(F.sequence(F.lit(1), F.lit(items))).cast("long").alias("item_id")).select("w_id", "item_id", F.format_string(KEYS["stock"], "w_id", "item_id").alias("k"), F.lit(100).cast("long").alias("stock"))
+    s = w.select("w_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(items).cast("long"))).alias("item_id")).select("w_id", "item_id", F.format_string(KEYS["stock"], "w_id", "item_id").alias("k"), F.lit(100).cast("long").alias("stock"))
     return {"warehouse": w, "item": i, "stock": s}
 
 
@@ -167,7 +167,7 @@ def stock_invariant(stock: DataFrame, lines: DataFrame, initial: int) -> DataFra
 def sim_ops(spark: SparkSession, n: int, seed: int, keys: int = 100, mix: str = "default", least: int = 10, most: int = 1024) -> DataFrame:
     """(op_no, op, k, v_len): operations of a simulated run; ``internal`` is a flush or a compaction."""
     op = choose(uniform(seed, F.col("id"), 1), SIM_MIXES[mix])
-    inner = F.when(uniform(seed, F.col("id"), 4) < 0.5, "flush").otherwise("compact")
+    inner = F.when(uniform(seed, F.col("op_no"), 4) < 0.5, "flush").otherwise("compact")
     key = F.format_string("k%05d", F.floor(uniform(seed, F.col("id"), 2) * keys).cast("long"))
     size = (F.floor(uniform(seed, F.col("id"), 3) * (most - least + 1)) + least).cast("int")
     df = spark.range(n).select(F.col("id").alias("op_no"), op.alias("op"), key.alias("k"), size.alias("v_len"))
