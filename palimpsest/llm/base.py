@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 
+#: Bytes of an Arrow batch between Spark and Python, in place of a default of 64 MB.
+BATCH_BYTES = 4 << 20
 #: Rows of a batch that are worked on at once in Python.
 SLICE = 512
 
@@ -53,11 +55,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}-{label}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    small_batches(df).write.parquet(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on the session sends Python batches of at most BATCH_BYTES.
+
+    Both sides hold a few batches for each task, outside the heap. With texts of
+    a megabyte, batches of so many rows would not fit; so the limit is in bytes.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != f"{BATCH_BYTES}b":
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that clash with no column of ``df`` (case is ignored)."""
     taken = {c.lower() for c in df.columns}
@@ -118,7 +132,7 @@ def map_texts(df: DataFrame, step: Callable, schema: str, *, keep: list[str], co
 
     struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
-    return df.mapInArrow(partial(_mapped, step=step, setup=setup, schema=arrow, keep=keep, column=column), struct)
+    return small_batches(df).mapInArrow(partial(_mapped, step=step, setup=setup, schema=arrow, keep=keep, column=column), struct)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

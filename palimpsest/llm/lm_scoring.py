@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, text_batches
+from .base import materialise, small_batches, text_batches
 
 FREQUENT, GROUPS, CLASSES = 767, 256, 64
 UNITS = FREQUENT + GROUPS + 1
@@ -182,7 +182,7 @@ def _class_types(batches, frequent, label):
 def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
     """Train on all rows of ``docs``; null and empty texts are only an end."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(text_col).alias("text"))
+    slim = small_batches(docs).select(F.col(text_col).alias("text"))
     counts = materialise(slim.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     documents = slim.count()

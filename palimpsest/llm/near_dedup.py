@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh, map_texts, materialise, slices, small, text_batches
+from .base import fresh, map_texts, materialise, slices, small, small_batches, text_batches
 from .components import connected_components
 
 VALUES, TREES = 128, 16
@@ -302,7 +302,7 @@ def _in_tiles(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
 
 def near_classes(docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n_shingles, node, check) and the components (node, component) of linked classes."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     minis = [f"m{i}" for i in range(VALUES // 32)]
     signed = materialise(map_texts(slim, partial(_signed, k=k), f"doc_id {kind}, n_shingles long, node long, check long, sig binary, {', '.join(f'{m} long' for m in minis)}", keep=["doc_id"]), "signatures")

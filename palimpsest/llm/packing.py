@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import materialise, slices, text_batches
+from .base import materialise, slices, small_batches, text_batches
 from .hilbert import hilbert_index
 from .pretokens import FastIds
 
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
 def tokenised(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id``, ``curve_key``, ``tie`` and ``ids`` (little-endian, 2 bytes where the vocabulary fits) of each row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(partial(_tokenised, path=path or public_tokenizers.path(TOKENIZER)), f"doc_id {kind}, curve_key long, tie long, ids binary")
 

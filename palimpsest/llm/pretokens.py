@@ -12,6 +12,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -31,19 +32,23 @@ class Encoder:
     """Looks pre-tokens up in a dict of ``make(ids)`` values, filled by the library."""
 
     def __init__(self, path: str, make: Callable, frequent: dict | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.make, self.frequent = make, frequent or {}
+        self.path, self.make, self.frequent = path, make, frequent or {}
         self.table = dict(self.frequent)
-        spec = json.load(open(path, encoding="utf-8"))
-        pre = spec.get("pre_tokenizer") or {}
-        added = spec.get("added_tokens") or []
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
         self.special = re.compile("|".join(re.escape(a["content"]) for a in added)) if added else None
         self.find, self.iter = (p := regex.compile(PATTERN)).findall, p.finditer
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when it is first needed."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        return Tokenizer.from_file(self.path)
+
     def _special(self, text: str) -> bool:
         return self.special is not None and self.special.search(text) is not None
 
@@ -106,8 +111,10 @@ class FastIds:
 
     def __init__(self, path: str) -> None:
         self.own = Encoder(path, len)
-        self.size = self.own.tokenizer.get_vocab_size(True)
-        self.ranks = self._ranks(json.load(open(path, encoding="utf-8"))) if self.own.plain else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec.get("added_tokens") or [])])
+        self.ranks = self._ranks(spec) if self.own.plain else None
 
     def _ranks(self, spec: dict):
         import tiktoken

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts
+from .base import map_texts, small_batches
 
 #: Base patterns, letters of ``assign`` in either case.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -184,7 +184,7 @@ def redacted(text: Column) -> Column:
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs``, all rows and columns, with secrets cut out of the texts and the length column kept true."""
-    out = docs.withColumn(text_col, redacted(F.col(text_col)))
+    out = small_batches(docs).withColumn(text_col, redacted(F.col(text_col)))
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh, materialise
+from .base import fresh, materialise, small_batches
 from .hilbert import hilbert_index
 
 BITS = 8
@@ -43,7 +43,7 @@ def _keys(batches, dims: list[str], out: str):
 def with_curve_key(df: DataFrame, cells: dict[str, Column], out: str) -> DataFrame:
     """``df`` and its Hilbert index over ``cells`` (name -> grid cell)."""
     names = fresh(df, *cells)
-    full = df.withColumns(dict(zip(names, cells.values(), strict=True)))
+    full = small_batches(df).withColumns(dict(zip(names, cells.values(), strict=True)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` long"])
     return full.mapInArrow(partial(_keys, dims=names, out=out), schema)
 

@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts, text_batches
+from .base import map_texts, small_batches, text_batches
 from .pretokens import LONGEST, Encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,7 +43,7 @@ def _frequent_words(batches):
 
 def frequent_pretokens(docs: DataFrame, path: str, *, text_col: str = "text", size: int = FREQUENT) -> dict[str, int]:
     """Token counts of about ``size`` frequent pre-tokens, from all texts."""
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequent_words, "word binary, n long")
+    words = small_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(_frequent_words, "word binary, n long")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
     own, seen = Encoder(path, len), Counter()
     if own.plain:
