@@ -110,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     found = overlaps(docs, benchmark, [F.col(id_col)], F.col(text_col))
     best = F.max(F.struct("n_equal", "n_aligned", (-F.col("doc_word")).alias("doc_word"), (-F.col("item_word")).alias("item_word"))).alias("best")
     rows = found.groupBy("key0", "item_id").agg(F.max("n_items").alias("n_items"), best)
-    return rows.select(F.col("key0").alias("doc_id"), "item_id", "n_items", "best.n_equal", "best.n_aligned", (-F.col("best.doc_word")).alias("doc_word"), (-F.col("best.item_word")).alias("item_word"))
+    return rows.select(F.col("key0").alias("doc_id"), "item_id", "n_items", *(F.abs(f"best.{c}").cast("long").alias(c) for c in ("n_equal", "n_aligned", "doc_word", "item_word")))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:

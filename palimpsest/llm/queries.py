@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .base import documents
 from .decontaminate import leaks
 from .license_scan import license_scan
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_redirect_verdicts": sql.OP4, "op5_lsh_forest_dedup": sql.OP5, "op9_quality_rules": sql.OP9, "op10_spaced_seed_leaks": sql.OP10}
