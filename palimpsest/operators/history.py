@@ -74,6 +74,14 @@ def pivots(ops: DataFrame, txns: DataFrame, width: int = 64) -> DataFrame:
     return into.join(out, "txn", "left_semi")
 
 
+def dangerous(ops: DataFrame, txns: DataFrame, width: int = 64) -> DataFrame:
+    """Pivots whose incoming and outgoing edges can be chosen to end in different transactions: not one and the same on both sides."""
+    e = concurrent_rw(ops, txns, width)
+    ends = lambda c, other, p: e.groupBy(F.col(c).alias("txn")).agg(F.min(other).alias(f"{p}_lo"), F.max(other).alias(f"{p}_hi"))
+    both = ends("dst", "src", "in").join(ends("src", "dst", "out"), "txn")
+    return both.where("not (in_lo = in_hi and out_lo = out_hi and in_lo = out_lo)").select("txn")
+
+
 def si_conflicts(ops: DataFrame, txns: DataFrame) -> DataFrame:
     """Transactions that wrote a key of which another committed a version between their begin and commit.
 

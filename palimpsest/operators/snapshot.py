@@ -99,3 +99,8 @@ def overlay(base: DataFrame, own: DataFrame) -> DataFrame:
 def maxima(versions: DataFrame) -> DataFrame:
     """Largest commit_ts and the next timestamp to give."""
     return versions.agg(F.coalesce(F.max("commit_ts"), F.lit(0)).alias("max_commit_ts"), (F.coalesce(F.max("commit_ts"), F.lit(0)) + 1).alias("next_ts"))
+
+
+def monotonic_violations(versions: DataFrame) -> DataFrame:
+    """Timestamps that a key has twice: its versions would not be in strict order."""
+    return versions.groupBy("k", "commit_ts").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("k", "commit_ts")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.encodings import digest_halves
 from palimpsest.operators import gc, history, learned, metrics, model, recovery, snapshot
 from palimpsest.plans import fixtures as fx
-from palimpsest.plans import workload
+from palimpsest.plans import simulation, stress, workload
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -387,6 +387,27 @@ def ycsb_ops(spark, d):
     return workload.ycsb_ops(spark, "A", 100_000)
 
 
+@query("txn_stress")
+def txn_stress(spark, d):
+    return stress.stress(*stress.stress_history(spark, 100))
+
+
+@query("failure_search")
+def failure_search(spark, d):
+    return simulation.stats(simulation.run_all(spark, range(20), list(simulation.SCENARIOS.values())))
+
+
+@query("monotonic_violations", f"WITH {V} SELECT k, commit_ts FROM (SELECT k, CASE WHEN commit_ts % 97 = 0 THEN commit_ts - 1 ELSE commit_ts END AS commit_ts FROM v) GROUP BY k, commit_ts HAVING count(*) > 1")
+def monotonic_violations(spark, d):
+    v = fx.version_log(spark, d).withColumn("commit_ts", F.when(F.col("commit_ts") % 97 == 0, F.col("commit_ts") - 1).otherwise(F.col("commit_ts")))
+    return snapshot.monotonic_violations(v)
+
+
+@query("dangerous_structures", f"WITH {H} SELECT DISTINCT p.dst AS txn FROM rw p JOIN rw q ON p.dst = q.src WHERE p.src <> q.dst")
+def dangerous_structures(spark, d):
+    return history.dangerous(*_h(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

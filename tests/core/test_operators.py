@@ -140,6 +140,15 @@ def test_read_only_anomaly_8_1(spark):
     assert done == {"case1": {0, 1, 2}, "ssi": {0, 1}} and cyclic(h, done["case1"])[0]
 
 
+def test_stress_histories(spark):
+    from palimpsest.plans.stress import stress, stress_history
+
+    ops, txns = stress_history(spark, 60)
+    got = {m: stress(ops, txns, m).collect() for m in ("si", "ssi")}
+    assert sum(r.n_cyclic for r in got["ssi"]) == 0 < sum(r.n_cyclic for r in got["si"])
+    assert len(got["ssi"]) == 60 and {r.n_txns for r in got["ssi"]} == {40} and all(0 < r.abort_rate < 0.9 for r in got["ssi"])
+
+
 def test_edges_and_cycles_like_brute_force(spark):
     for h in histories(8, 7, 3, 5):
         ops, txns = frames(spark, [h])
