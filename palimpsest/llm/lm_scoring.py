@@ -33,7 +33,8 @@ from .base import materialise, small_batches, text_batches
 FREQUENT, GROUPS, CLASSES = 767, 256, 64
 UNITS = FREQUENT + GROUPS + 1
 END = UNITS - 1
-LOOKUP = 200_000
+#: Words of the broadcast table, and their longest in bytes; other words are joined.
+LOOKUP, LONGEST = 200_000, 64
 #: Added to word counts; weight of the class distribution in transitions.
 ALPHA, BETA = 0.1, 5.0
 SWEEPS = 12
@@ -186,7 +187,7 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
     counts = materialise(slim.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     documents = slim.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()
+    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()
     known = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     frequent = {w: i for i, w in enumerate(list(known)[:FREQUENT])}
     share = spark.sparkContext.broadcast(frequent)
