@@ -52,18 +52,34 @@ def get(versions: DataFrame, key, ts: int) -> DataFrame:
     return hit.where(~F.col("is_delete"))
 
 
-def as_of_many(requests: DataFrame, versions: DataFrame) -> DataFrame:
+def as_of_many(requests: DataFrame, versions: DataFrame, width: int | None = None) -> DataFrame:
     """For each request (req, k, ts) the version it sees: status, commit_ts, v.
 
     One union, one shuffle by key and one ordered pass with the last version so
     far, instead of a join that meets every request with every older version of
     its key. ``req`` and ``k`` must not be null.
+
+    With ``width`` a key is cut into spans of so many timestamps that are passed
+    over in parallel, so that a key with a large part of all versions is no single
+    task: the last version of each span (a partial maximum) is carried into the
+    key's next spans.
     """
-    asks = requests.select("k", F.col("ts").alias("t"), F.lit(1).alias("kind"), "req", F.lit(None).cast("struct<commit_ts:bigint,is_delete:boolean>").alias("ver"), F.lit(None).cast(versions.schema["v"].dataType).alias("v"))
-    has = versions.select("k", F.col("commit_ts").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(requests.schema["req"].dataType).alias("req"), F.struct("commit_ts", "is_delete").alias("ver"), "v")
-    w = W.partitionBy("k").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    seen = has.unionByName(asks).withColumn("at", F.last(F.when(F.col("kind") == 0, F.struct("ver", "v")), True).over(w)).where("kind = 1")
-    return seen.select("req", "k", F.col("t").alias("ts"), status(F.col("at.ver")).alias("status"), F.col("at.ver.commit_ts").alias("commit_ts"), F.when(~F.col("at.ver.is_delete"), F.col("at.v")).alias("v"))
+    kind = versions.schema["v"].dataType
+    ver = F.struct("commit_ts", "is_delete", "v")
+    has = versions.select("k", F.col("commit_ts").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(requests.schema["req"].dataType).alias("req"), ver.alias("ver"))
+    asks = requests.select("k", F.col("ts").alias("t"), F.lit(1).alias("kind"), "req", F.lit(None).cast(has.schema["ver"].dataType).alias("ver"))
+    both, by = has.unionByName(asks), ["k"]
+    if width:
+        both, by = both.withColumn("span", F.floor(F.col("t") / width)), ["k", "span"]
+    w = W.partitionBy(*by).orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("at", F.last("ver", True).over(w)).where("kind = 1")
+    if width:
+        ends = both.groupBy("k", "span").agg(F.max(F.when(F.col("kind") == 0, F.col("t"))).alias("end"))
+        before = W.partitionBy("k").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+        carry = ends.withColumn("end", F.max("end").over(before)).where("end is not null")
+        carry = carry.join(versions.select("k", F.col("commit_ts").alias("end"), ver.alias("came")), ["k", "end"]).select("k", "span", "came")
+        seen = seen.join(carry, ["k", "span"], "left").withColumn("at", F.coalesce("at", "came"))
+    return seen.select("req", "k", F.col("t").alias("ts"), status(F.col("at")).alias("status"), F.col("at.commit_ts").alias("commit_ts"), F.when(~F.col("at.is_delete"), F.col("at.v")).cast(kind).alias("v"))
 
 
 def status(version: Column) -> Column:

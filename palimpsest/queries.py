@@ -89,7 +89,7 @@ SELECT req, k, ts, CASE WHEN commit_ts IS NULL THEN 'NotFound' WHEN is_delete TH
 def as_of_many(spark, d):
     n = fx.last_ts(spark, d)
     asks = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("req"), F.concat(F.lit("user:"), F.lpad((F.col("o_custkey") % 200).cast("string"), 8, "0")).alias("k"), (F.col("o_orderkey") * 13 % n).alias("ts"))
-    return snapshot.as_of_many(asks, fx.version_log(spark, d))
+    return snapshot.as_of_many(asks, fx.version_log(spark, d), width=n // 16 + 1)
 
 
 @query("lookup_status", f"""WITH {V}, c AS (SELECT DISTINCT concat('user:', lpad(CAST(c_custkey % 300 AS VARCHAR), 8, '0')) AS k FROM customer)

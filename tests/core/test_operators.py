@@ -49,10 +49,11 @@ def test_binary_keys_order_as_bytes(spark):
     assert [bytes(r.k) for r in snapshot.scan(df, 1, start=bytearray(b"\x7f"), end=bytearray(b"\x80")).collect()] == [b"\x7f", b"\x7f\x00"]
 
 
-def test_as_of_many(spark, log):
+@pytest.mark.parametrize("width", [None, 1, 37, 1000])
+def test_as_of_many(spark, log, width):
     rng = random.Random(2)
     asks = [(i, rng.choice([r[0] for r in log] + ["none"]), rng.randrange(420)) for i in range(100)]
-    got = snapshot.as_of_many(spark.createDataFrame(asks, "req int, k string, ts long"), spark.createDataFrame(log, VERSIONS)).collect()
+    got = snapshot.as_of_many(spark.createDataFrame(asks, "req int, k string, ts long"), spark.createDataFrame(log, VERSIONS), width).collect()
     assert len(got) == 100
     for r in got:
         mine = max((x for x in log if x[0] == r.k and x[1] <= r.ts), key=lambda x: x[1], default=None)
