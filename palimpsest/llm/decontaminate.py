@@ -75,7 +75,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[Column], text: Co
     While the benchmark's seeds are few by check they are broadcast, and a
     document is scanned, joined and verified in one go, without a shuffle.
     Beyond that the seeds are shuffled; documents are joined back for the
-    verification by a hash of their text.
+    verification by a hash of their text, once per item and diagonal, with all
+    hits of the diagonal. Both ways verify every hit.
     """
     items = materialise(benchmark_items(benchmark), "items")
     seeded = materialise(with_seeds(items.withColumnRenamed("item_h", "h"), ["item_key"]).withColumnRenamed("i", "j").distinct(), "seeds")
@@ -94,11 +95,13 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, seeded: DataFrame, keys: list
     key = {"k1": F.xxhash64(full), "k2": F.xxhash64(F.lit(1), full)}
     each = docs.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), *(v.alias(n) for n, v in key.items()), full.alias("full"))
     hits = with_seeds(with_tokens(each, [F.col("k1"), F.col("k2")], F.col("full"), "h"), ["k1", "k2"]).join(seeded, "seed")
-    spots = hits.groupBy("k1", "k2", "item_key", (F.col("i") - F.col("j")).alias("shift"), F.floor(F.col("j") / REACH).alias("part")).agg(F.min(F.struct("i", "j")).alias("at"))
-    spots = materialise(spots.select("k1", "k2", "item_key", "at.i", "at.j"), "spots")
+    spots = hits.groupBy("k1", "k2", "item_key", (F.col("i") - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"))  # all hits of a diagonal: no more than the item has tokens
+    spots = materialise(spots, "spots")
     texts = each.join(spots.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     texts = with_tokens(texts, [F.col(c) for c in (*names, "k1", "k2")], F.col("full"), "h")
-    return _verified(texts.join(spots, ["k1", "k2"]).join(items, "item_key"), [*names, *tail])
+    paired = texts.join(spots, ["k1", "k2"]).join(items, "item_key")
+    each_hit = paired.select(*names, *tail, "h", "item_h", "shift", F.explode("js").alias("j")).withColumn("i", F.col("j") + F.col("shift"))
+    return _verified(each_hit, [*names, *tail])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,6 +71,19 @@ def test_like_brute_force_by_both_ways(spark, odd, monkeypatch):
     assert without_leaks(docs, items).count() == stay.count()
 
 
+def test_both_ways_give_the_same_rows(spark, odd, monkeypatch):
+    item = [f"a{i}" for i in range(200)]
+    other = lambda keep: " ".join(w if keep(i) else f"b{i}" for i, w in enumerate(item))
+    rows = [(1, other(lambda i: 30 <= i < 130)), (2, other(lambda i: 64 <= i < 69 or 121 <= i < 132)), (3, other(lambda i: 64 <= i < 69))]
+    docs, items = planted(spark, odd)
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    items = items.unionByName(spark.createDataFrame([(70, " ".join(item))], items.schema))
+    one = sorted(map(tuple, leaks(docs, items).collect()), key=str)
+    assert [(r[0], r[3]) for r in one if r[1] == 70 and r[0] < 4] == [(1, 100), (2, 16)]
+    monkeypatch.setattr(decontaminate, "small", lambda *a, **b: False)
+    assert sorted(map(tuple, leaks(docs, items).collect()), key=str) == one
+
+
 def test_odd_tables(spark, sf, odd, empty):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert leaks(empty, benchmark).count() == 0 and leaks(odd, benchmark).count() == 0
