@@ -2,10 +2,13 @@
 
 Every word has a unit: each of the FREQUENT commonest words is its own, all
 other words share units by the end of the word, and the end of a document has
-one. Units, not single rare words, are exchanged between classes, on the unit
-bigrams of the whole training text; so the clustering works on a matrix of fixed
-size however large the vocabulary is, and still every word, seen or not, has a
-class. The probability of a word is
+one. Units are exchanged between classes first, one by one, on their bigrams in
+the whole training text. From there every word of MIN_COUNT occurrences or more
+is exchanged by itself, so the clustered vocabulary grows with the corpus: in
+each round the classes of its neighbours are counted for each word (sparse, and
+shuffled by word), and each word moves to its best class; sets of TOGETHER words
+do so side by side, for which the neighbours stay in the classes they had. The classes of the round with the highest likelihood are taken. Only rarer and
+unseen words have the class of their unit. The probability of a word is
 
     P(class | class before) * P(word | class)
 
@@ -20,10 +23,12 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import groupby
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +43,14 @@ LOOKUP, LONGEST = 200_000, 64
 #: Added to word counts; weight of the class distribution in transitions.
 ALPHA, BETA = 0.1, 5.0
 SWEEPS = 12
+#: Words that occur as often are exchanged by themselves; rounds of that.
+MIN_COUNT, ROUNDS = 20, 1
+#: Words that move one after the other, each knowing the moves before it; such sets of words move at once.
+TOGETHER = 4096
+#: Cells of a word: classes after it, classes before it, itself.
+CELLS = 2 * CLASSES + 1
+#: Tokens that are counted at once.
+TOKENS = 1_000_000
 #: Counters and caches of a task start anew at this many entries.
 ENTRIES = 400_000
 
@@ -47,6 +60,17 @@ def unit_of(word: bytes, frequent: dict[bytes, int]) -> int:
     return FREQUENT + zlib.crc32(word[-3:]) % GROUPS if u is None else u
 
 
+def ids_of(words: list[bytes], frequent: dict[bytes, int], own: np.ndarray) -> np.ndarray:
+    """Of each word its unit, or UNITS plus its place in ``own``, the sorted hashes of the words that are exchanged by themselves."""
+    ids = np.fromiter((unit_of(w, frequent) for w in words), np.int64, len(words))
+    if len(own):
+        far = np.flatnonzero(ids >= FREQUENT)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in far), np.uint64, len(far))
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        ids[far] = np.where(own[at] == h, UNITS + at, ids[far])
+    return ids
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 10; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -68,38 +92,134 @@ def _word_counts(batches):
     yield flush()
 
 
-def _unit_bigrams(batches, frequent):
-    table, cells = frequent.value, np.zeros(UNITS * UNITS, np.int64)
-    cache: dict[bytes, int] = {}
-    held, size = [np.array([END])], 0
+def _own_words(batches, frequent):
+    table = frequent.value
+    for batch in batches:
+        words = [w for w in batch.column("word").to_pylist() if w not in table]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array([unit_of(w, table) for w in words], pa.int32())], names=["h", "unit"])
 
-    def count():
-        u = np.concatenate(held)
-        cells[:] += np.bincount(u[:-1] * UNITS + u[1:], minlength=UNITS * UNITS)
-        held[:] = [u[-1:]]
 
+def _as_ids(batches, tables):
+    """The texts as int32 ids, an end before the first and after each; a row per slice of texts."""
+    frequent, own = tables.value
+    cache: dict[bytes, int] = {}
     for _, texts in text_batches(batches):
+        held = [np.array([END], np.int32)]
         for text in texts:
             words = text.lower().split()
             if len(cache) > ENTRIES:
                 cache.clear()
-            for w in set(words).difference(cache):
-                cache[w] = unit_of(w, table)
-            held.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
-            held.append(np.array([END]))
-            size += len(words) + 1
-            if size > 2_000_000:
-                count()
-                size = 0
-    count()
+            if new := list(set(words).difference(cache)):
+                cache.update(zip(new, ids_of(new, frequent, own).tolist(), strict=True))
+            held.append(np.fromiter(map(cache.__getitem__, words), np.int32, len(words)))
+            held.append(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["ids"])
+
+
+def _pairs(batches):
+    """Neighbours (ids before, ids after), some TOKENS at a time."""
+    a, b, size = [], [], 0
+    for batch in batches:
+        for raw in batch.column("ids"):
+            u = np.frombuffer(raw.as_buffer(), np.int32)
+            a.append(u[:-1])
+            b.append(u[1:])
+            size += len(u)
+            if size > TOKENS:
+                yield np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+                a, b, size = [], [], 0
+    if size:
+        yield np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+
+
+def _unit_bigrams(batches, home):
+    unit, cells = home.value, np.zeros(UNITS * UNITS, np.int64)
+    for a, b in _pairs(batches):
+        cells += np.bincount(unit[a] * UNITS + unit[b], minlength=UNITS * UNITS)
     at = np.flatnonzero(cells)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells[at], pa.int64())], names=["cell", "n"])
 
 
+def _contexts(batches, labels, bigrams_only):
+    """Class bigrams (id -1), and the cells of each id that is no frequent word and no end (a row per id and TOKENS: cells as bytes, counts as uint32)."""
+    label, m = labels.value.astype(np.int64), np.zeros(CLASSES * CLASSES, np.int64)
+    schema = pa.schema([("id", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
+
+    def packed(values, ends):
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    for a, b in _pairs(batches):
+        m += np.bincount(label[a] * CLASSES + label[b], minlength=CLASSES * CLASSES)
+        if bigrams_only:
+            continue
+        first, then = (a >= FREQUENT) & (a != END), (b >= FREQUENT) & (b != END) & (a != b)
+        after = a[first] * CELLS + np.where(a[first] == b[first], 2 * CLASSES, label[b[first]])
+        code, n = np.unique(np.concatenate((after, b[then] * CELLS + CLASSES + label[a[then]])), return_counts=True)
+        if len(code):
+            id_, cell = np.divmod(code, CELLS)
+            ends = np.concatenate(([0], np.flatnonzero(np.diff(id_)) + 1, [len(id_)]))
+            none = pa.nulls(len(ends) - 1)
+            cols = [pa.array(id_[ends[:-1]], pa.int32()), packed(cell.astype(np.uint8), ends), packed(n.astype(np.uint32), ends), none.cast(pa.int32()), none.cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+    at = np.flatnonzero(m)
+    none = pa.nulls(len(at)).cast(pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1), pa.int32()), none, none, pa.array(at, pa.int32()), pa.array(m[at])], schema=schema)
+
+
+def _by_id(batches):
+    """Each id and its cells, of rows sorted by id."""
+    now, x = None, np.zeros(CELLS)
+    for batch in batches:
+        for id_, cell, n in zip(*(batch.column(c).to_pylist() for c in ("id", "cells", "counts")), strict=True):
+            if id_ != now:
+                if now is not None:
+                    yield now, x
+                now, x = id_, np.zeros(CELLS)
+            x += np.bincount(np.frombuffer(cell, np.uint8), np.frombuffer(n, np.uint32), CELLS)
+    if now is not None:
+        yield now, x
+
+
+def _moved(batches, tables):
+    """Of rows sorted by id, sets of TOGETHER ids whole: the ids whose likelihood is higher in another class, and the best class."""
+    label, start = tables.value
+    for _, words in groupby(_by_id(batches), lambda x: x[0] // TOGETHER):
+        ids, best, m = [], [], start.copy()
+        for id_, x in words:
+            r, p, self_ = x[:CLASSES], x[CLASSES : 2 * CLASSES], x[-1]
+            k = int(label[id_])
+            m[k] -= r
+            m[:, k] -= p
+            m[k, k] -= self_
+            gain = _gain(m, r, p, self_)
+            t = int(np.argmax(gain))
+            if gain[t] <= gain[k] + 1e-9:
+                t = k
+            else:
+                ids.append(id_)
+                best.append(t)
+            m[t] += r
+            m[:, t] += p
+            m[t, t] += self_
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(best, pa.int32())], names=["id", "label"])
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _gain(m: np.ndarray, r: np.ndarray, p: np.ndarray, self_: float) -> np.ndarray:
+    """What each class gains in likelihood from a word that is left out of the class bigrams ``m``; ``r`` and ``p``: classes after and before it."""
+    out, into = m.sum(1), m.sum(0)
+    gain = (_xlogx(m + r) - _xlogx(m)).sum(1) + (_xlogx(m + p[:, None]) - _xlogx(m)).sum(0)
+    d = np.diag(m)
+    gain += _xlogx(d + r + p + self_) + _xlogx(d) - _xlogx(d + r) - _xlogx(d + p)
+    gain -= _xlogx(out + r.sum() + self_) - _xlogx(out) + _xlogx(into + p.sum() + self_) - _xlogx(into)
+    gain[0] = -np.inf
+    return gain
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit, by exchange clustering on unit bigram counts.
 
@@ -128,12 +248,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             m[k] -= r
             m[:, k] -= p
             m[k, k] -= self_
-            out, into = m.sum(1), m.sum(0)
-            gain = (_xlogx(m + r) - _xlogx(m)).sum(1) + (_xlogx(m + p[:, None]) - _xlogx(m)).sum(0)
-            d = np.diag(m)
-            gain += _xlogx(d + r + p + self_) + _xlogx(d) - _xlogx(d + r) - _xlogx(d + p)
-            gain -= _xlogx(out + r.sum() + self_) - _xlogx(out) + _xlogx(into + p.sum() + self_) - _xlogx(into)
-            gain[0] = -np.inf
+            gain = _gain(m, r, p, self_)
             t = int(np.argmax(gain))
             if gain[t] <= gain[k] + 1e-9:
                 t = k
@@ -154,7 +269,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 
 @dataclass
 class BrownModel:
-    """What training leaves: tables of bounded size, and ``counts`` (word, n) of all training words."""
+    """What training leaves: tables of bounded size, but for ``own`` and ``label`` (9 bytes per word of MIN_COUNT occurrences), and ``counts`` (word, n) of all training words."""
 
     counts: DataFrame
     tokens: int
@@ -165,21 +280,50 @@ class BrownModel:
     label: np.ndarray = field(repr=False)
     transition: np.ndarray = field(repr=False)  # log10, class before by class
     emission: np.ndarray = field(repr=False)  # log10 of the divisor, by class
+    own: np.ndarray = field(repr=False)  # sorted hashes of the other words with a class of their own
     base: float = 0.0  # log10 of the divisor
 
     def tables(self) -> dict:
-        return {k: getattr(self, k) for k in ("frequent", "known", "label", "transition", "emission", "base", "documents")}
+        return {k: getattr(self, k) for k in ("frequent", "own", "known", "label", "transition", "emission", "base", "documents")}
 
 
-def _class_types(batches, frequent, label):
+def _class_types(batches, tables):
     n = np.zeros(CLASSES, np.int64)
-    table = frequent.value
+    frequent, own, label = tables.value
     for batch in batches:
-        units = np.fromiter((unit_of(w, table) for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
-        n += np.bincount(label[units], minlength=CLASSES)
+        n += np.bincount(label[ids_of(batch.column("word").to_pylist(), frequent, own)], minlength=CLASSES)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(n)], names=["label", "n"])
 
 
+def exchange_words(ids: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``label`` (class of each id) after up to ROUNDS rounds in which all ids but the frequent words and the end move, and the class bigrams."""
+    spark = ids.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best = None
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        seen = ids.mapInArrow(partial(_contexts, labels=spark.sparkContext.broadcast(label), bigrams_only=last), "id int, cells binary, counts binary, cell int, n long")
+        seen = seen if last else materialise(seen, "contexts")
+        m = np.zeros(CLASSES * CLASSES)
+        for r in seen.where("id < 0").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CLASSES x CLASSES rows
+            m[r.cell] = r.n
+        m = m.reshape(CLASSES, CLASSES)
+        value = _xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum()
+        if best is not None and value <= best[0]:
+            break
+        best = value, label, m
+        if last:
+            break
+        tables = spark.sparkContext.broadcast((label, m))
+        rows = seen.where("id >= 0").select("id", "cells", "counts").repartition(parts, F.floor(F.col("id") / TOGETHER)).sortWithinPartitions("id")
+        moves = rows.mapInArrow(partial(_moved, tables=tables), "id int, label int").toArrow()  # a row per word that moves
+        if not moves.num_rows:
+            break
+        label = label.copy()
+        label[moves.column("id").to_numpy()] = moves.column("label").to_numpy()
+    return best[1], best[2]
+
+
 def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
     """Train on all rows of ``docs``; null and empty texts are only an end."""
     spark = docs.sparkSession
@@ -191,30 +335,31 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
     known = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     frequent = {w: i for i, w in enumerate(list(known)[:FREQUENT])}
     share = spark.sparkContext.broadcast(frequent)
-    cells = slim.mapInArrow(partial(_unit_bigrams, frequent=share), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS x UNITS rows
+    own = counts.where(F.col("n") >= MIN_COUNT).mapInArrow(partial(_own_words, frequent=share), "h long, unit int").toArrow()  # 12 bytes per word
+    units = own.column("unit").to_numpy()
+    own, first = np.unique(own.column("h").to_numpy().astype(np.uint64), return_index=True)
+    home = np.concatenate((np.arange(UNITS), units[first]))
+    ids = materialise(slim.mapInArrow(partial(_as_ids, tables=spark.sparkContext.broadcast((frequent, own))), "ids binary"), "ids")
+    cells = ids.mapInArrow(partial(_unit_bigrams, home=spark.sparkContext.broadcast(home)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS x UNITS rows
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    bigrams = bigrams.reshape(UNITS, UNITS)
-    label = exchange(bigrams)
-    one = np.zeros((UNITS, CLASSES))
-    one[np.arange(UNITS), label] = 1
-    m = one.T @ bigrams @ one
+    label, m = exchange_words(ids, exchange(bigrams.reshape(UNITS, UNITS))[home].astype(np.uint8))
     size, tokens = m.sum(0), words + documents
     prior = (size + 1) / (tokens + CLASSES)
     transition = np.log10((m + BETA * prior) / (m.sum(1, keepdims=True) + BETA))
-    per = counts.mapInArrow(partial(_class_types, frequent=share, label=label), "label int, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()
+    per = counts.mapInArrow(partial(_class_types, tables=spark.sparkContext.broadcast((frequent, own, label))), "label int, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()
     kinds = np.zeros(CLASSES)
     for r in per:
         kinds[r.label] = r.n
     emission = np.log10(size + ALPHA * (kinds + 1))
     ends = int(documents > 0)
-    return BrownModel(counts, int(tokens), int(types) + ends, documents, frequent, known, label, transition, emission, log10(tokens + ALPHA * (types + ends + 1)))
+    return BrownModel(counts, int(tokens), int(types) + ends, documents, frequent, known, label, transition, emission, own, log10(tokens + ALPHA * (types + ends + 1)))
 
 
 def _scored(batches, model, kind):
     """Per document a row of what is known at once, and a row for each other word with its count."""
     t = model.value
-    known, frequent, label = t["known"], t["frequent"], t["label"]
+    known, frequent, own, label = t["known"], t["frequent"], t["own"], t["label"]
     row = TaskContext.get().partitionId() << 33
     cache: dict[bytes, int] = {}
     classes: list[int] = []
@@ -233,9 +378,10 @@ def _scored(batches, model, kind):
                 cache.clear()
                 classes.clear()
                 logs.clear()
-            for w in set(words).difference(cache):
-                cache[w] = len(classes)
-                classes.append(label[unit_of(w, frequent)])
+            new = list(set(words).difference(cache))
+            classes.extend(label[ids_of(new, frequent, own)].tolist())
+            for w in new:
+                cache[w] = len(logs)
                 logs.append(log10(known[w] + ALPHA) if w in known else np.nan)
             ids = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
             kinds, times = np.unique(ids, return_counts=True)
@@ -248,10 +394,10 @@ def _scored(batches, model, kind):
             score = seen - float((t["emission"][c] * times).sum()) + float(t["transition"][path[:-1], path[1:]].sum())
             summary.append((row, doc, out, None, None, len(words) + 1, int(times[~miss].sum()) + (t["documents"] > 0), base, score))
             if miss.any():
-                own = dict(zip(ids.tolist(), words, strict=True))
+                word_of = dict(zip(ids.tolist(), words, strict=True))
                 gone = kinds[miss].tolist()
                 misses[0].extend([row] * len(gone))
-                misses[1].extend(own[i] for i in gone)
+                misses[1].extend(word_of[i] for i in gone)
                 misses[2].extend(times[miss].tolist())
             row += 1
         yield batch_of(list(zip(*summary, strict=True)) or [()] * len(schema))

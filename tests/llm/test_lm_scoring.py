@@ -87,3 +87,18 @@ def test_exchange_finds_classes_and_gains():
 def test_held_out(spark):
     got = spark.range(200).select("id", held_out(__import__("pyspark").sql.functions.col("id")).alias("h")).collect()
     assert [r.h for r in got] == [zlib.crc32(str(r.id).encode()) % 10 == 0 for r in got]
+
+
+def test_words_beyond_the_frequent_have_classes_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    kinds = [[f"{x}{i}tion".encode() for i in range(30)] for x in "pqrs"]  # one ending, four kinds that follow each other
+    text = lambda: b" ".join(kinds[i % 4][rng.integers(30)] for i in range(40)).decode()
+    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(lm_scoring, "LOOKUP", 60)  # few frequent words
+    m = fit(docs)
+    all_ = [w for x in kinds for w in x]
+    label = m.label[lm_scoring.ids_of(all_, m.frequent, m.own)].reshape(4, 30)
+    assert len(m.own) == 60 and len({lm_scoring.unit_of(w, m.frequent) for w in all_}) == 61
+    assert all(set(a) != set() and not set(a) & set(b) for i, a in enumerate(label) for b in label[:i])
+    seen, *_ = lm_scoring.ids_of([b"unseention"], m.frequent, m.own)
+    assert seen == unit_of(b"unseention", m.frequent)
