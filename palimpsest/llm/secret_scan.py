@@ -45,6 +45,10 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?\d\d?){0,2}|\d\d?[-/.]?\d\d?[-/.]?(?:1
 REACH = max(10, *map(len, WORDS))
 
 
+#: A word of one case with an apostrophe.
+APOSTROPHE = re.compile(r"[A-Z]?[a-z]+['’][a-z]{1,2}")
+
+
 @cache
 def _tables():
     rank = {w: log10(i + 2) for i, w in enumerate(WORDS)}
@@ -90,14 +94,14 @@ def log_guesses(value: str) -> float:
 
 
 def is_secret(value: bytes) -> bool:
-    """Long and costly enough, and no plain word: letters of one case alone are prose."""
+    """Long and costly enough, and no plain word: letters of one case alone (perhaps with a capital or an apostrophe) are prose; chains of words are priced."""
     text = value.decode(errors="replace").rstrip(".,;:!?)]}")
     if len(text) < MIN_VALUE:
         return False
     core = text[1:] if text[0].isupper() else text
     if core.isalpha() and (core.islower() or core.isupper() or not core.isascii()):
         return False
-    if re.fullmatch(r"[a-z]+(?:[-_./'’][a-z]+)*", text, re.I) or re.match(r"[$%{<\[(]|https?:|//", text):
+    if APOSTROPHE.fullmatch(text) or re.match(r"[$%{<\[(]|https?:|//", text):
         return False
     return log_guesses(text) >= LOG_GUESSES
 
