@@ -5,7 +5,9 @@ signature of MinHash values is read from TREES starting places, which gives as
 many sorted orders. Classes that share the first values of an order are
 neighbours in it. How many values they must share depends on how crowded the
 region is: a prefix that more than BLOCK classes share is read deeper, after all
-its classes have been compared with a few leaders. Neighbours whose sketches could be similar enough are candidates; connected candidates form
+its classes have been compared with a few leaders. What this connects saves
+comparisons but decides nothing: after it, every class of a crowded prefix
+outside the prefix's largest component meets all others of it, in tiles. Neighbours whose sketches could be similar enough are candidates; connected candidates form
 a region. Inside a region every pair is compared exactly, on the full sets.
 
 The exact comparison takes regions of up to CHUNK classes whole. Larger ones
@@ -182,7 +184,7 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         return df.withColumn("key", F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * VALUES // TREES} + 1, {2 * depth})")))
 
     rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    found = []
+    found, crowded = [], None
     for depth in DEPTHS:
         rows = keyed(rows, depth)
         hot = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select("key"), "crowded")
@@ -194,6 +196,8 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         if none:
             break
         rows = rows.join(side, "key", "left_semi")
+        if crowded is None:  # deeper ones are parts of these
+            crowded = materialise(rows.select(F.col("key").alias("region"), "node", "n", *minis), "crowded_rows")
         found.append(_to_leaders(rows, percent))
         rows = rows.drop("key")
     else:  # as many equal values in a row: neighbours by all means
@@ -203,7 +207,12 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    if crowded is None:
+        return out.distinct()
+    out = materialise(out.distinct(), "edges")
+    tiles = _tiled(crowded, out, BLOCK).select(F.col("tile").alias("key"), "node", "n", *minis)
+    rest = tiles.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_blocks, percent=percent), "a long, b long")
+    return out.unionByName(rest).distinct()
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -282,20 +291,25 @@ def _in_runs(large: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _in_tiles(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between each class outside its region's largest component so far and all others of the region."""
+def _tiled(large: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """``large`` with a ``tile``: in tiles of about twice ``size`` rows each class outside its region's largest component by ``links`` meets all others of the region."""
     parts = connected_components(links)
     known = materialise(large.select("region", "node").join(parts, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "known")
     sizes = known.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
     core = sizes.groupBy("region").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"))
-    core = core.select("region", F.col("top.component").alias("core"), F.ceil((F.col("all") - F.col("top.size")) / CHUNK).alias("n_rest"), F.ceil(F.col("top.size") / CHUNK).alias("n_core")).where("n_rest > 0")
+    core = core.select("region", F.col("top.component").alias("core"), F.ceil((F.col("all") - F.col("top.size")) / size).alias("n_rest"), F.ceil(F.col("top.size") / size).alias("n_core")).where("n_rest > 0")
     place = F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("core"), F.col("n_core")).otherwise(F.col("n_rest")))
-    at = known.join(core, "region").select("node", "n_rest", "n_core", (F.col("component") == F.col("core")).alias("in_core"), place.alias("c"))
+    at = known.join(core, "region").select("region", "node", "n_rest", "n_core", (F.col("component") == F.col("core")).alias("in_core"), place.alias("c"))
     rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
     outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_core") - 1), lambda x: F.struct(F.col("c").alias("i"), (F.col("n_rest") + x).alias("j")))
     inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda x: F.struct(x.alias("i"), (F.col("n_rest") + F.col("c")).alias("j")))
-    tiles = at.select("node", F.explode(F.when(F.col("in_core"), inner).otherwise(F.concat(rest, outer))).alias("tile"))
-    rows = large.join(tiles, "node").select(F.xxhash64("region", "tile.i", "tile.j").alias("tile"), "node", "set")
+    tiles = at.select("region", "node", F.explode(F.when(F.col("in_core"), inner).otherwise(F.concat(rest, outer))).alias("tile"))
+    return large.join(tiles, ["region", "node"]).withColumn("tile", F.xxhash64("region", "tile.i", "tile.j"))
+
+
+def _in_tiles(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between each class outside its region's largest component so far and all others of the region."""
+    rows = _tiled(large, links, CHUNK).select("tile", "node", "set")
     n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "tile").sortWithinPartitions("tile", "node").mapInArrow(partial(_compared, by="tile", percent=percent), "a long, b long")
 

@@ -110,6 +110,22 @@ def test_crowded_regions(spark, monkeypatch, block, chunk):
     assert result(near_duplicates(docs, k=2)) == want
 
 
+def test_small_groups_under_one_template(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    rng = random.Random(11)
+    frame, rows = [f"t{i}" for i in range(60)], []
+    for g in range(200):
+        own = [f"g{g}x{i}" for i in range(36)]
+        for m in range(2):
+            now = list(own)
+            for i in rng.sample(range(0, 36, 4), 2 + m):
+                now[i] = f"g{g}m{m}y{i}"
+            rows.append((2 * g + m, " ".join(frame + now)))
+    want = brute(rows, 2)
+    assert 200 <= len({c for *_, c in want}) < 210
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2)) == want
+
+
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "small", lambda *a, **b: False)
     rows = copies(60)
