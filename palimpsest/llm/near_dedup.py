@@ -1,20 +1,24 @@
 """MinHash near-duplicates by an LSH forest.
 
-A document is the set of its word shingles; equal sets form one class. A
-signature of MinHash values is read from TREES starting places, which gives as
-many sorted orders. Classes that share the first values of an order are
-neighbours in it. How many values they must share depends on how crowded the
-region is: a prefix that more than BLOCK classes share is read deeper, after all
-its classes have been compared with a few leaders. What this connects saves
-comparisons but decides nothing: after it, every class of a crowded prefix
-outside the prefix's largest component meets all others of it, in tiles. Neighbours whose sketches could be similar enough are candidates; connected candidates form
-a region. Inside a region every pair is compared exactly, on the full sets.
-
-The exact comparison takes regions of up to CHUNK classes whole. Larger ones
-are first thinned by runs of neighbours in a few orders; then every class
-outside the region's largest component meets every other class of the region, in
-tiles of chunks. So no task holds more than two chunks, and no link is lost to
-a cap.
+A document is the set of its word shingles; equal sets form one class (told by a
+64-bit hash of the set). The MinHash signature of a class is read from TREES
+starting places, which gives as many sorted orders. Each order is sorted by
+ranges; neighbours are the classes whose longest common prefix has DEPTH values
+or more. A region of up to BLOCK neighbours is compared at that depth by
+sketches; a larger one is read deeper, as deep as it takes to have BLOCK classes
+or fewer. Candidates that are similar enough by their sketches are connected,
+and connected classes form a region of the exact comparison; all classes of a
+crowded prefix are in one region together, so that what its depth left apart is
+not lost.
+
+Regions of up to CHUNK classes are compared whole, on the full sets. In larger
+ones, runs of neighbours in a few orders are linked first. What is left is a
+join with a prefix filter: of each class the rarest shingles of its region are
+taken, as many as two sets above the threshold can't both miss; classes of
+different components that share one of these, and are similar enough by their
+sketches, meet in a tile of at most two chunks and are compared there on the
+full sets. So no task holds more than two chunks, no link is lost to a cap, and
+texts that have only common shingles in common are not compared.
 """
 
 from __future__ import annotations
@@ -26,14 +30,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import fresh, map_texts, materialise, slices, small, small_batches, text_batches
 from .components import connected_components
 
 VALUES, TREES = 128, 16
-DEPTHS = (4, 8, 16, 32)
-#: A prefix shared by more classes is read deeper.
+#: Values that neighbours of an order have in common at least, and at which reading deeper ends.
+DEPTH, DEEPEST = 4, 32
+#: Values by which a region that is not crowded is sorted.
+SHALLOW = 8
+#: Most classes of a region of an order that are compared at its depth.
 BLOCK = 1024
 #: Of exact comparison at once: classes, and shingles in all.
 CHUNK, CHUNK_SHINGLES = 512, 2_000_000
@@ -41,11 +49,12 @@ CHUNK, CHUNK_SHINGLES = 512, 2_000_000
 COLUMNS = 1024
 #: Orders in which runs of a large region are compared before the tiles.
 RUNS = 2
-#: Classes of a crowded prefix that all others of it are compared with, besides their deeper neighbours.
-LEADERS = 4
 #: Standard deviations of the sketch that a candidate may be below the threshold.
 SLACK = 4.5
 
+#: Columns of a sketch.
+MINIS = [f"m{i}" for i in range(VALUES // 32)]
+
 _U = np.uint64
 _A = np.random.default_rng(20240229).integers(0, 1 << 63, VALUES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -68,6 +77,12 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def class_of(raw: bytes) -> int:
+    """A signed 64-bit hash of a set."""
+    h = xxhash.xxh3_64_intdigest(raw)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """VALUES 16-bit hashes of minima."""
     low = np.full(VALUES, (1 << 32) - 1, np.uint64)
@@ -84,12 +99,11 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def _signed(texts: list[bytes], k: int) -> dict:
-    out: dict[str, list] = {c: [] for c in ("n_shingles", "node", "check", "sig", *(f"m{i}" for i in range(VALUES // 32)))}
+    out: dict[str, list] = {c: [] for c in ("n_shingles", "node", "sig", *MINIS)}
     for text in texts:
         s = shingle_set(text, k)
         v = signature(s)
-        raw = xxhash.xxh3_128_intdigest(s.tobytes())
-        row = [len(s), *np.array([raw >> 64, raw & (1 << 64) - 1], np.uint64).astype(np.int64).tolist(), np.concatenate((v, v[: DEPTHS[-1]])).tobytes(), *sketch(v).astype(np.int64).tolist()]
+        row = [len(s), class_of(s.tobytes()), np.concatenate((v, v[:DEEPEST])).tobytes(), *sketch(v).astype(np.int64).tolist()]
         for c, x in zip(out.values(), row, strict=True):
             c.append(x)
     return out
@@ -101,118 +115,107 @@ def _uncertain(percent: int) -> float:
     return p - SLACK * (p * (1 - p) / VALUES) ** 0.5
 
 
-def _find(root: list[int], i: int) -> int:
-    while root[i] != i:
-        root[i] = root[root[i]]
-        i = root[i]
-    return i
-
-
-def _join_up(near: np.ndarray) -> list[int]:
-    """Root of each row of a symmetric boolean matrix."""
-    root = list(range(len(near)))
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        a, b = _find(root, i), _find(root, j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [_find(root, i) for i in range(len(root))]
-
-
 def _stars(node: np.ndarray, near: np.ndarray):
-    root = np.array(_join_up(near))
+    """Edges from each row of a symmetric boolean matrix to the first row of its component."""
+    root = np.full(len(near), -1)
+    for i in range(len(near)):
+        if root[i] < 0:
+            root[i], todo = i, [i]
+            while todo:
+                new = np.flatnonzero(near[todo.pop()] & (root < 0))
+                root[new] = i
+                todo += new.tolist()
     far = root != np.arange(len(root))
     return node[far], node[root[far]]
 
 
-def _blocks(batches, percent: int):
-    """Per block of equal ``key`` (rows are sorted by it): edges that connect the candidates."""
-    least = int(np.ceil(_uncertain(percent) * VALUES))
-    held: pa.Table | None = None
+def _alike(mini: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Boolean matrix of the pairs whose sketches and sizes allow a link."""
+    least, near = int(np.ceil(_uncertain(percent) * VALUES)), np.zeros((len(n), len(n)), bool)
+    for i in range(0, len(n), 256):
+        x = mini[i : i + 256, None] ^ mini[None]
+        differ = np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555)).sum(2)
+        near[i : i + 256] = VALUES - differ >= least
+    return near & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
 
-    def edges(table: pa.Table, last: bool):
-        cols = {c: table.column(c).to_numpy() for c in table.column_names}
-        key = cols["key"]
-        cut = np.flatnonzero(np.diff(key)) + 1
-        start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        rest = 0 if last else end[-1] - start[-1]
-        if not last:
-            start, end = start[:-1], end[:-1]
-        a, b = [], []
-        m = np.stack([cols[f"m{i}"] for i in range(VALUES // 32)], 1).view(np.uint64)
-        for s, e in zip(start[end - start > 1], end[end - start > 1], strict=True):
-            n, mini = cols["n"][s:e], m[s:e]
-            near = np.zeros((e - s, e - s), bool)
-            for i in range(0, e - s, 256):
-                x = mini[i : i + 256, None] ^ mini[None]
-                differ = np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555)).sum(2)
-                near[i : i + 256] = VALUES - differ >= least
-            near &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-            x, y = _stars(cols["node"][s:e], near)
-            a.append(x)
-            b.append(y)
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([cat(a), cat(b)], names=["a", "b"]), table.slice(table.num_rows - rest)
 
+def _minis(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(m).to_numpy() for m in MINIS], 1).view(np.uint64)
+
+
+def _runs(batches, cut, most: int | None = None):
+    """Tables of rows and the starts of their runs, by ``cut`` (table -> places where a run starts, but for 0); the last run waits for more rows, unless it has over ``most``."""
+    held: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None or not held.num_rows else pa.concat_tables([held, table])
-        if held.num_rows:
-            out, held = edges(held, False)
-            held = held.combine_chunks()
-            yield out
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            held = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            start = np.concatenate(([0], cut(held)))
+            if held.num_rows - start[-1] > (most or held.num_rows):
+                yield held, start
+                held = None
+            elif len(start) > 1:
+                yield held.slice(0, start[-1]), start[:-1]
+                held = held.slice(start[-1])
     if held is not None and held.num_rows:
-        yield edges(held, True)[0]
+        yield held, np.concatenate(([0], cut(held)))
 
 
-def _to_leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges from the rows of crowded keys to those of LEADERS rows of the key that may be similar enough."""
-    minis = [f"m{i}" for i in range(VALUES // 32)]
-    lead = rows.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "n", *minis)) for i in range(LEADERS))).alias("leads"))
-    pairs = rows.join(lead.select("key", F.explode("leads").alias("lead")), "key")
-    low = F.lit(0x5555555555555555)
-    differ = sum((F.bit_count((x := F.col(m).bitwiseXOR(F.col(f"lead.{m}"))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low)) for m in minis), F.lit(0))
-    near = (VALUES - differ >= int(np.ceil(_uncertain(percent) * VALUES))) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-    return pairs.where(near & (F.col("node") != F.col("lead.node"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+def _common(table: pa.Table) -> np.ndarray:
+    """Of each row but the first, the length of the prefix that its order and that of the row before have in common, in values; 0 between two orders."""
+    raw, tree = table.column("order").to_pylist(), table.column("tree").to_numpy()
+    values = np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
+    same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    return np.where(same.all(1), values.shape[1], same.argmin(1)) if len(raw) > 1 else np.zeros(0, np.int64)
+
+
+def _neighbours(batches, percent: int, block: int):
+    """Edges that connect the candidates of rows sorted by order: regions of a common prefix, as deep as it takes to have ``block`` rows."""
+    for table, _ in _runs(batches, lambda t: np.flatnonzero(_common(t) < DEPTH) + 1, 16 * block):
+        common, node, n, mini = _common(table), table.column("node").to_numpy(), table.column("n").to_numpy(), _minis(table)
+        a, b = [], []
+
+        def regions(start: int, end: int, depth: int):
+            cut = start + 1 + np.flatnonzero(common[start : end - 1] < depth)
+            for s, e in zip([start, *cut], [*cut, end], strict=True):
+                if 1 < e - s <= block:
+                    x, y = _stars(node[s:e], _alike(mini[s:e], n[s:e], percent))
+                    a.append(x)
+                    b.append(y)
+                elif e - s > block and depth < DEEPEST:
+                    regions(s, e, depth + 1)  # noqa: B023
+                elif e - s > block:  # as many equal values in a row: candidates by all means
+                    a.append(node[s + 1 : e])
+                    b.append(np.full(e - s - 1, node[s]))
+
+        regions(0, table.num_rows, DEPTH)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (a, b)], names=["a", "b"])
 
 
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges that connect classes which the forest makes candidates."""
-    minis = [f"m{i}" for i in range(VALUES // 32)]
-
-    def keyed(df: DataFrame, depth: int) -> DataFrame:
-        """A row per tree, or for each (tree) given, keyed by the prefix of that depth."""
-        return df.withColumn("key", F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * VALUES // TREES} + 1, {2 * depth})")))
-
-    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    found, crowded = [], None
-    for depth in DEPTHS:
-        rows = keyed(rows, depth)
-        hot = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select("key"), "crowded")
-        none = hot.isEmpty()
-        side = F.broadcast(hot) if small(hot) else hot
-        leaf = (rows if none else rows.join(side, "key", "left_anti")).select("key", "node", "n", *minis)
-        parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found.append(leaf.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_blocks, percent=percent), "a long, b long"))
-        if none:
-            break
-        rows = rows.join(side, "key", "left_semi")
-        if crowded is None:  # deeper ones are parts of these
-            crowded = materialise(rows.select(F.col("key").alias("region"), "node", "n", *minis), "crowded_rows")
-        found.append(_to_leaders(rows, percent))
-        rows = rows.drop("key")
-    else:  # as many equal values in a row: neighbours by all means
-        rows = keyed(rows, DEPTHS[-1])
-        lead = rows.groupBy("key").agg(F.min("node").alias("b"))
-        found.append(rows.select("key", F.col("node").alias("a")).join(lead, "key").select("a", "b"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    if crowded is None:
-        return out.distinct()
-    out = materialise(out.distinct(), "edges")
-    tiles = _tiled(crowded, out, BLOCK).select(F.col("tile").alias("key"), "node", "n", *minis)
-    rest = tiles.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(partial(_blocks, percent=percent), "a long, b long")
-    return out.unionByName(rest).distinct()
+    """(a, b): edges that connect classes which the forest makes candidates, and all classes of a crowded prefix.
+
+    Orders are cut into ranges of whole prefixes of DEPTH values, so that no
+    region lies in two tasks; crowded prefixes, which could fill a task, are cut
+    anywhere.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = lambda n: F.expr(f"substring(sig, tree * {2 * VALUES // TREES} + 1, {2 * n})")
+    rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn("head", order(DEPTH))
+    hot = materialise(rows.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where(F.col("size") > BLOCK).select("tree", "head", "hub"), "crowded")
+    step, out = partial(_neighbours, percent=percent, block=BLOCK), "a long, b long"
+
+    def sorted_by(df: DataFrame, values: int, *by: str) -> DataFrame:
+        slim = df.select("tree", "head", order(values).alias("order"), "node", "n", *MINIS)
+        return slim.repartitionByRange(parts, "tree", *by).sortWithinPartitions("tree", "order").drop("head")
+
+    if hot.isEmpty():
+        return sorted_by(rows, SHALLOW, "head").mapInArrow(step, out).distinct()
+    side = F.broadcast(hot) if small(hot) else hot
+    calm = sorted_by(rows.join(side, ["tree", "head"], "left_anti"), SHALLOW, "head").mapInArrow(step, out)
+    deep = sorted_by(rows.join(side, ["tree", "head"], "left_semi"), DEEPEST, "order", "node").mapInArrow(step, out)
+    hubs = rows.join(side, ["tree", "head"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return calm.unionByName(deep).unionByName(hubs).distinct()
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -274,8 +277,7 @@ def _compared(batches, by: str, percent: int, chunk: int | None = None):
 def _sets(batches, k: int):
     for batch, texts in text_batches(batches):
         raw = [shingle_set(t, k).tobytes() for t in texts]
-        node = [xxhash.xxh3_128_intdigest(x) >> 64 for x in raw]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).astype(np.int64)), pa.array(raw, pa.binary())], names=["node", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(map(class_of, raw), pa.int64()), pa.array(raw, pa.binary())], names=["node", "set"])
 
 
 def _in_runs(large: DataFrame, percent: int) -> DataFrame:
@@ -284,43 +286,94 @@ def _in_runs(large: DataFrame, percent: int) -> DataFrame:
     out = None
     for tree in range(RUNS):
         at = 2 * VALUES // TREES * tree * (TREES // RUNS) + 1
-        order = ["region", F.expr(f"substring(sig, {at}, {2 * DEPTHS[-1]})")]
+        order = ["region", F.expr(f"substring(sig, {at}, {2 * DEEPEST})")]
         run = large.repartitionByRange(parts, *order, "node").sortWithinPartitions(*order, "node").select("region", "node", "set")
         links = run.mapInArrow(partial(_compared, by="region", percent=percent, chunk=CHUNK), "a long, b long")
         out = links if out is None else out.unionByName(links)
     return out
 
 
-def _tiled(large: DataFrame, links: DataFrame, size: int) -> DataFrame:
-    """``large`` with a ``tile``: in tiles of about twice ``size`` rows each class outside its region's largest component by ``links`` meets all others of the region."""
-    parts = connected_components(links)
-    known = materialise(large.select("region", "node").join(parts, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "known")
+def _tiled(rows: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+    """``rows`` (region, node) with a ``tile``: in tiles of about twice ``size`` rows each node outside its region's largest component, by ``parts``, meets all others of the region. Regions within one component are left out."""
+    known = materialise(rows.select("region", "node").join(parts, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "known")
     sizes = known.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
     core = sizes.groupBy("region").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"))
     core = core.select("region", F.col("top.component").alias("core"), F.ceil((F.col("all") - F.col("top.size")) / size).alias("n_rest"), F.ceil(F.col("top.size") / size).alias("n_core")).where("n_rest > 0")
     place = F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("core"), F.col("n_core")).otherwise(F.col("n_rest")))
-    at = known.join(core, "region").select("region", "node", "n_rest", "n_core", (F.col("component") == F.col("core")).alias("in_core"), place.alias("c"))
+    at = known.join(core, "region").select("region", "node", "component", "n_rest", "n_core", (F.col("component") == F.col("core")).alias("in_core"), place.alias("c"))
     rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
     outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_core") - 1), lambda x: F.struct(F.col("c").alias("i"), (F.col("n_rest") + x).alias("j")))
     inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda x: F.struct(x.alias("i"), (F.col("n_rest") + F.col("c")).alias("j")))
-    tiles = at.select("region", "node", F.explode(F.when(F.col("in_core"), inner).otherwise(F.concat(rest, outer))).alias("tile"))
-    return large.join(tiles, ["region", "node"]).withColumn("tile", F.xxhash64("region", "tile.i", "tile.j"))
+    tiles = at.select("region", "node", "component", F.explode(F.when(F.col("in_core"), inner).otherwise(F.concat(rest, outer))).alias("tile"))
+    return tiles.select(F.xxhash64("region", "tile.i", "tile.j").alias("tile"), "node", "component")
 
 
-def _in_tiles(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between each class outside its region's largest component so far and all others of the region."""
-    rows = _tiled(large, links, CHUNK).select("tile", "node", "set")
-    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "tile").sortWithinPartitions("tile", "node").mapInArrow(partial(_compared, by="tile", percent=percent), "a long, b long")
+def _shingles(batches):
+    """One row per shingle of a set."""
+    for batch in slices(batches):
+        raw = batch.column("set").to_pylist()
+        n = np.array([len(x) // 8 for x in raw], np.int64)
+        at = pa.array(np.repeat(np.arange(len(raw)), n))
+        yield pa.RecordBatch.from_arrays([batch.column("region").take(at), batch.column("node").take(at), pa.array(np.repeat(n, n), pa.int64()), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["region", "node", "size", "x"])
+
+
+def _meetings(batches, percent: int):
+    """Of rows sorted by tile: (meet, node) where pairs of different components that may be linked shall be compared exactly."""
+    for table, start in _runs(batches, lambda t: np.flatnonzero(np.diff(t.column("tile").to_numpy())) + 1):
+        cols = {c: table.column(c).to_numpy() for c in ("node", "n", "component", "region", "place")}
+        mini, found = _minis(table), [np.zeros((0, 4), np.int64)]
+        for s, e in zip(start, [*start[1:], table.num_rows], strict=True):
+            node, part, place = (cols[c][s:e] for c in ("node", "component", "place"))
+            near = _alike(mini[s:e], cols["n"][s:e], percent)
+            near &= part[:, None] != part
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.diff(place[order], prepend=-1))
+            x, y = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1))  # rows and places that a partner has
+            if len(x):
+                mine, other = place[x], place[order[first]][y]
+                found.append(np.stack((cols["region"][s:e][x], np.minimum(mine, other), np.maximum(mine, other), node[x]), 1))
+        out = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(4)], names=["region", "i", "j", "node"])
+
+
+def _by_prefix(large: DataFrame, runs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links of large regions between the components that ``runs`` leave.
+
+    With the shingles of a region in order of how many of its classes have them,
+    two sets above the threshold have one in common among the first
+    size - ceil(size * percent / 100) + 1 of each. Shingles of one class alone
+    take places in that order but no part in the join.
+    """
+    spark = large.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = materialise(connected_components(runs), "linked")
+    at = large.select("region", "node").join(known, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"))
+    open_ = at.groupBy("region").agg(F.count(F.lit(1)).alias("classes"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ = materialise(open_.select("region", F.ceil(F.col("classes") / CHUNK).alias("places")), "open")
+    if open_.isEmpty():
+        return runs.limit(0)
+    side = F.broadcast(open_) if small(open_) else open_
+    each = materialise(large.join(side, "region", "left_semi").select("region", "node", "set").mapInArrow(_shingles, "region long, node long, size long, x long"), "shingles")
+    shared = each.groupBy("region", "x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = W.partitionBy("node")
+    ranked = each.join(shared, ["region", "x"]).withColumn("rank", F.row_number().over(own.orderBy("df", "x"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("shared"))
+    keys = materialise(ranked.where(F.col("rank") <= first).select(F.xxhash64("region", "x").alias("region"), "node"), "prefixes")
+    tiles = _tiled(keys, known, BLOCK)
+    place = F.pmod(F.xxhash64("node"), F.col("places")).alias("place")
+    about = classes.select("node", "n", *MINIS).join(large.select("region", "node"), "node").join(side, "region").select("region", "node", "n", place, *MINIS)
+    rows = tiles.join(about, "node").repartition(parts, "tile").sortWithinPartitions("tile")
+    meet = rows.mapInArrow(partial(_meetings, percent=percent), "region long, i long, j long, node long").distinct()
+    met = materialise(meet.select(F.xxhash64("region", "i", "j").alias("meet"), "node"), "meetings").join(large.select("node", "set"), "node")
+    return met.repartition(parts, "meet").sortWithinPartitions("meet", "node").select("meet", "node", "set").mapInArrow(partial(_compared, by="meet", percent=percent), "a long, b long")
 
 
 def near_classes(docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, n_shingles, node, check) and the components (node, component) of linked classes."""
+    """The documents (doc_id, n_shingles, node) and the components (node, component) of linked classes."""
     slim = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    minis = [f"m{i}" for i in range(VALUES // 32)]
-    signed = materialise(map_texts(slim, partial(_signed, k=k), f"doc_id {kind}, n_shingles long, node long, check long, sig binary, {', '.join(f'{m} long' for m in minis)}", keep=["doc_id"]), "signatures")
-    known = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("sig", *minis)))
+    signed = materialise(map_texts(slim, partial(_signed, k=k), f"doc_id {kind}, n_shingles long, node long, sig binary, {', '.join(f'{m} long' for m in MINIS)}", keep=["doc_id"]), "signatures")
+    known = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("sig", *MINIS)))
     classes = materialise(known, "classes")
     regions = materialise(connected_components(candidate_edges(classes, percent)).select("node", F.col("component").alias("region")), "regions")
     wanted = classes.join(regions, "node").select("node", "region", "sig", F.col("doc_id").alias("rep"))
@@ -337,7 +390,7 @@ def near_classes(docs: DataFrame, *, id_col: str, text_col: str, k: int, percent
     if not crowded.isEmpty():
         large = materialise(sets.join(side, "region", "left_semi"), "large")
         runs = materialise(_in_runs(large, percent), "runs")
-        links = links.unionByName(runs).unionByName(_in_tiles(large, runs, percent))
+        links = links.unionByName(runs).unionByName(_by_prefix(large, runs, classes, percent))
     return signed, connected_components(links)
 
 

@@ -110,8 +110,10 @@ def test_crowded_regions(spark, monkeypatch, block, chunk):
     assert result(near_duplicates(docs, k=2)) == want
 
 
-def test_small_groups_under_one_template(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [512, 16])
+def test_small_groups_under_one_template(spark, monkeypatch, chunk):
     monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     rng = random.Random(11)
     frame, rows = [f"t{i}" for i in range(60)], []
     for g in range(200):
@@ -126,6 +128,37 @@ def test_small_groups_under_one_template(spark, monkeypatch):
     assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2)) == want
 
 
+def boilerplate(n, share, seed=3):
+    """Texts with a frame in common that makes them ``share`` similar, no two of them linked but for a copy of every 50th with one word changed."""
+    rng = random.Random(seed)
+    size = 100
+    common = round(2 * share / (1 + share) * size)
+    frame, rows = [f"t{i}" for i in range(common)], []
+    for i in range(n):
+        words = frame + [f"d{i}x{j}" for j in range(size - common)]
+        rows.append((2 * i, " ".join(words)))
+        if i % 50 == 0:
+            words[rng.randrange(common, size)] = "other"
+            rows.append((2 * i + 1, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.62, 0.77])
+def test_boilerplate_without_links(spark, monkeypatch, share):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    monkeypatch.setattr(near_dedup, "SLACK", 20.0)  # all pairs are candidates by their sketches
+    met, plain = [], near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, label: met.append((label, plain(df, label))) or met[-1][1])
+    rows = boilerplate(600, share)
+    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2))
+    assert got == sorted((d, n, d - d % 2) for d, n, _ in got) and len(got) == 612
+    (region,) = [df for label, df in met if label == "regions"]
+    assert region.select("region").distinct().count() == 1 and region.count() == 612
+    meetings = [df.count() for label, df in met if label == "meetings"]
+    assert sum(meetings) <= (4 * 12 if share < 0.7 else 612 * 16)
+
+
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "small", lambda *a, **b: False)
     rows = copies(60)
