@@ -294,18 +294,26 @@ def _in_runs(large: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiled(rows: DataFrame, parts: DataFrame, size: int) -> DataFrame:
-    """``rows`` (region, node) with a ``tile``: in tiles of about twice ``size`` rows each node outside its region's largest component, by ``parts``, meets all others of the region. Regions within one component are left out."""
-    known = materialise(rows.select("region", "node").join(parts, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "known")
-    sizes = known.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
-    core = sizes.groupBy("region").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"))
-    core = core.select("region", F.col("top.component").alias("core"), F.ceil((F.col("all") - F.col("top.size")) / size).alias("n_rest"), F.ceil(F.col("top.size") / size).alias("n_core")).where("n_rest > 0")
-    place = F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("core"), F.col("n_core")).otherwise(F.col("n_rest")))
-    at = known.join(core, "region").select("region", "node", "component", "n_rest", "n_core", (F.col("component") == F.col("core")).alias("in_core"), place.alias("c"))
-    rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda x: F.struct(F.least(x, F.col("c")).alias("i"), F.greatest(x, F.col("c")).alias("j")))
-    outer = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_core") - 1), lambda x: F.struct(F.col("c").alias("i"), (F.col("n_rest") + x).alias("j")))
-    inner = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1), lambda x: F.struct(x.alias("i"), (F.col("n_rest") + F.col("c")).alias("j")))
-    tiles = at.select("region", "node", "component", F.explode(F.when(F.col("in_core"), inner).otherwise(F.concat(rest, outer))).alias("tile"))
-    return tiles.select(F.xxhash64("region", "tile.i", "tile.j").alias("tile"), "node", "component")
+    """(tile, node, component, short) in tiles of about twice ``size`` rows, for each key of ``rows`` (key, node, short).
+
+    In some tile each node meets all others of its key that may be linked with
+    it and are not yet by ``parts``: one of the two is ``short``, and not both
+    are in the key's largest component. Keys without such a pair have no tile.
+    """
+    known = materialise(rows.join(parts, "node", "left").select("key", "node", "short", F.coalesce("component", "node").alias("component")), "known")
+    top = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"))
+    kind = F.when(F.col("component") == F.col("top.component"), F.when(F.col("short"), 1).otherwise(3)).otherwise(F.when(F.col("short"), 0).otherwise(2))
+    each = known.join(top, "key").select("key", "node", "component", "short", kind.alias("kind"))
+    chunks = lambda k: F.ceil(F.count_if(F.col("kind") == k) / size)
+    sizes = each.groupBy("key").agg(*(chunks(k).alias(f"c{k}") for k in range(4))).where("c0 > 0 or (c1 > 0 and c2 > 0)")
+    # cells of a key: short rest, short core, other rest, other core, each cut into chunks
+    ends = [F.lit(0).cast("long"), F.col("c0"), F.col("c0") + F.col("c1"), F.col("c0") + F.col("c1") + F.col("c2"), F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")]
+    of = lambda x: F.when(F.col("kind") == 0, x[0]).when(F.col("kind") == 1, x[1]).when(F.col("kind") == 2, x[2]).otherwise(x[3])
+    cells = lambda i, j: F.when(ends[j] > ends[i], F.sequence(ends[i], ends[j] - 1)).otherwise(F.array().cast("array<long>"))
+    own = of(ends) + F.pmod(F.xxhash64("node"), of([F.col(f"c{k}") for k in range(4)]))
+    meets = of([cells(0, 4), F.concat(cells(0, 1), cells(2, 3)), cells(0, 2), cells(0, 1)])
+    at = each.join(sizes, "key").select("key", "node", "component", "short", own.alias("own"), F.explode(meets).alias("other"))
+    return at.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "component", "short")
 
 
 def _shingles(batches):
@@ -320,12 +328,15 @@ def _shingles(batches):
 def _meetings(batches, percent: int):
     """Of rows sorted by tile: (meet, node) where pairs of different components that may be linked shall be compared exactly."""
     for table, start in _runs(batches, lambda t: np.flatnonzero(np.diff(t.column("tile").to_numpy())) + 1):
-        cols = {c: table.column(c).to_numpy() for c in ("node", "n", "component", "region", "place")}
+        cols = {c: table.column(c).to_numpy() for c in ("node", "n", "component", "region", "place", "short")}
         mini, found = _minis(table), [np.zeros((0, 4), np.int64)]
         for s, e in zip(start, [*start[1:], table.num_rows], strict=True):
-            node, part, place = (cols[c][s:e] for c in ("node", "component", "place"))
-            near = _alike(mini[s:e], cols["n"][s:e], percent)
-            near &= part[:, None] != part
+            node, part, place, n, short = (cols[c][s:e] for c in ("node", "component", "place", "n", "short"))
+            first = short[:, None] & (n[:, None] <= n)
+            near = (first | first.T) & (part[:, None] != part)
+            if not near.any():
+                continue
+            near &= _alike(mini[s:e], n, percent)
             order = np.argsort(place, kind="stable")
             first = np.flatnonzero(np.diff(place[order], prepend=-1))
             x, y = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1))  # rows and places that a partner has
@@ -340,9 +351,11 @@ def _by_prefix(large: DataFrame, runs: DataFrame, classes: DataFrame, percent: i
     """Links of large regions between the components that ``runs`` leave.
 
     With the shingles of a region in order of how many of its classes have them,
-    two sets above the threshold have one in common among the first
-    size - ceil(size * percent / 100) + 1 of each. Shingles of one class alone
-    take places in that order but no part in the join.
+    two sets above the threshold have one in common that is among the first
+    n - ceil(2 n percent / (100 + percent)) + 1 of the smaller set (``short``)
+    and among the first n - ceil(n percent / 100) + 1 of the larger. Shingles of
+    one class alone take places in that order but no part in the join, so texts
+    of one frame are not compared unless the frame alone makes them similar.
     """
     spark = large.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -357,8 +370,9 @@ def _by_prefix(large: DataFrame, runs: DataFrame, classes: DataFrame, percent: i
     shared = each.groupBy("region", "x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = W.partitionBy("node")
     ranked = each.join(shared, ["region", "x"]).withColumn("rank", F.row_number().over(own.orderBy("df", "x"))).withColumn("shared", F.count(F.lit(1)).over(own))
-    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("shared"))
-    keys = materialise(ranked.where(F.col("rank") <= first).select(F.xxhash64("region", "x").alias("region"), "node"), "prefixes")
+    place = F.col("size") - F.col("shared") + F.col("rank")  # those of one class alone come first
+    long_, short = (F.col("size") - F.ceil(F.col("size") * a / b) + 1 for a, b in ((percent, 100), (2 * percent, 100 + percent)))
+    keys = materialise(ranked.where(place <= long_).select(F.xxhash64("region", "x").alias("key"), "node", (place <= short).alias("short")), "prefixes")
     tiles = _tiled(keys, known, BLOCK)
     place = F.pmod(F.xxhash64("node"), F.col("places")).alias("place")
     about = classes.select("node", "n", *MINIS).join(large.select("region", "node"), "node").join(side, "region").select("region", "node", "n", place, *MINIS)

@@ -156,7 +156,7 @@ def test_boilerplate_without_links(spark, monkeypatch, share):
     (region,) = [df for label, df in met if label == "regions"]
     assert region.select("region").distinct().count() == 1 and region.count() == 612
     meetings = [df.count() for label, df in met if label == "meetings"]
-    assert sum(meetings) <= (4 * 12 if share < 0.7 else 612 * 16)
+    assert sum(meetings) <= 4 * 12
 
 
 def test_without_broadcasts(spark, monkeypatch):
