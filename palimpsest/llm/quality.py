@@ -100,29 +100,33 @@ def host_verdicts(features: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     return both.select("host", "n", *(f"k_{r}" for r in RULES), *(f"rate_{r}" for r in RULES), (F.greatest(*worst) > max_rate).alias("rejected"))
 
 
-def with_host_verdict(df: DataFrame, host: str, rejected: DataFrame, out: str) -> DataFrame:
-    """Join ``rejected`` (column host) back as the boolean column ``out``.
+def with_host_verdict(df: DataFrame, host: str, verdicts: DataFrame, out: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Join ``verdicts`` (host, rejected) back as the boolean column ``out``, and its columns ``more``.
 
     Broadcast while the list is small by check, else a shuffle join, in which
     adaptive execution splits the rows of a large host.
     """
-    h, flag = fresh(df, "rejected_host", "rejected_flag")
-    side = rejected.select(F.col("host").alias(h), F.lit(True).alias(flag))
-    if small(rejected.select("host"), text="host"):
+    h, flag = fresh(df, "verdict_host", "verdict_flag")
+    side = verdicts.select(F.col("host").alias(h), F.col("rejected").alias(flag), *more)
+    if small(verdicts.select("host"), text="host"):
         side = F.broadcast(side)
     return df.join(side, F.col(host).cast("string") == F.col(h), "left").withColumn(out, F.coalesce(F.col(flag), F.lit(False))).drop(h, flag)
 
 
+RATES = tuple(f"rate_{r}" for r in RULES)
+
+
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """One row per row of ``docs``: its features, ``base_failed``, and ``kept``.
+    """One row per row of ``docs``: its features, ``base_failed``, its host's shrunk rates (to 9 places) and verdict, and ``kept``.
 
     ``kept`` is false if the document fails the base rules or its host is
-    rejected. Null text: no words, so it fails. Null host: own rules only.
-    Repeated rows give repeated rows; an empty table gives an empty one.
+    rejected. Null text: no words, so it fails. Null host: own rules only, null
+    rates. Repeated rows give repeated rows; an empty table gives an empty one.
     """
     features = materialise(document_features(docs, id_col=id_col, text_col=text_col, host_col=host_col), "quality")
-    rejected = host_verdicts(features, max_rate).where("rejected")
-    return with_host_verdict(features, "host", rejected, "host_rejected").withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    hosts = materialise(host_verdicts(features, max_rate), "hosts")
+    verdicts = hosts.select("host", "rejected", *(F.round(r, 9).alias(r) for r in RATES))
+    return with_host_verdict(features, "host", verdicts, "host_rejected", RATES).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def _failed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -142,7 +146,7 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
     host, the second filters in place.
     """
     slim = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
-    rejected = materialise(host_verdicts(document_features(slim), max_rate).where("rejected").select("host"), "hosts")
+    rejected = materialise(host_verdicts(document_features(slim), max_rate).where("rejected").select("host", "rejected"), "hosts")
     (flag,) = fresh(docs, "host_rejected")
     good = with_host_verdict(docs, host_col, rejected, flag).where(~F.col(flag)).drop(flag)
     return good.where(~base_failed(F.col(text_col)))

@@ -14,7 +14,7 @@ from .license_scan import license_scan
 from .lm_scoring import brown_scores
 from .near_dedup import near_duplicates
 from .packing import pack
-from .quality import quality_rules
+from .quality import RATES, quality_rules
 from .secret_scan import secret_scan
 from .sharding import hilbert_shards
 from .token_counts import token_counts
@@ -55,7 +55,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rejected")
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rejected", *RATES)
 
 
 def op10_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,11 @@ k AS (SELECT host, rule, count(*) AS n, sum(failed) AS k FROM (SELECT host, unne
 m AS (SELECT rule, sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) AS q, count(*) / sum(n) AS h FROM k GROUP BY rule),
 s AS (SELECT rule, m, q - m * m - m * (1 - m) * h AS spread FROM m),
 p AS (SELECT rule, m, CASE WHEN spread > 0 THEN greatest(2.0, least(10000.0, m * (1 - m) / spread - 1)) ELSE 10000.0 END AS strength FROM s),
-v AS (SELECT host, max((k + m * strength) / (n + strength)) > 0.75 AS rejected FROM k JOIN p ON k.rule = p.rule GROUP BY host)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, g.host, coalesce(rejected, false) AS host_rejected, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+r AS (SELECT host, k.rule AS rule, (k + m * strength) / (n + strength) AS rate FROM k JOIN p ON k.rule = p.rule),
+v AS (SELECT host, max(rate) > 0.75 AS rejected, round(max(rate) FILTER (rule = 0), 9) AS rate_short, round(max(rate) FILTER (rule = 1), 9) AS rate_repetitive, round(max(rate) FILTER (rule = 2), 9) AS rate_symbols,
+  round(max(rate) FILTER (rule = 3), 9) AS rate_dup_lines, round(max(rate) FILTER (rule = 4), 9) AS rate_word_length FROM r GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, g.host, coalesce(rejected, false) AS host_rejected, NOT base_failed AND NOT coalesce(rejected, false) AS kept,
+  rate_short, rate_repetitive, rate_symbols, rate_dup_lines, rate_word_length
 FROM g LEFT JOIN v ON g.host = v.host
 """
 
@@ -57,22 +60,24 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal
 """
 
 OP4 = rf"""
-WITH RECURSIVE tags AS (SELECT url, list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b'))[1] AS l,
-  list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1] AS m FROM pages WHERE url IS NOT NULL),
-t0 AS (SELECT url, unnest([regexp_extract(l, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(m, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*''?([^"''\s>]+)', 1)]) AS target FROM tags),
+WITH RECURSIVE tags AS (SELECT url, list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')) AS l,
+  list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')) AS m FROM pages WHERE url IS NOT NULL),
+t0 AS (SELECT url, unnest(list_concat(list_transform(l, lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+  list_transform(m, lambda x: regexp_extract(x, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*''?([^"''\s>]+)', 1)))) AS target FROM tags),
 t1 AS (SELECT url, replace(target, '&amp;', '&') AS target, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin, regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM t0 WHERE target <> ''),
 t AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN concat(regexp_extract(url, '(?s)^(.*?:)//', 1), target) WHEN starts_with(target, '/') THEN concat(origin, target)
   ELSE concat(origin, CASE WHEN folder = '' THEN '/' ELSE folder END, target) END AS target FROM t1),
 u AS (SELECT url, {LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT url FROM pages UNION SELECT target FROM t)),
-s AS (SELECT *, CASE WHEN contains(url, '://') THEN concat('https://', regexp_replace(host, '^(?:www|m)\.', ''), CASE WHEN path = '' THEN '/' ELSE path END, regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1)) ELSE url END AS site FROM u),
-r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-f AS (SELECT url, concat(h, p) AS rule, verdict, row_number() OVER (PARTITION BY url ORDER BY length(h) + length(p) DESC, length(h) DESC) AS rn FROM s JOIN r ON (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, p)),
-j AS (SELECT s.*, rule, verdict FROM s LEFT JOIN f ON s.url IS NOT DISTINCT FROM f.url AND f.rn = 1),
-e AS (SELECT a.site AS a, b.site AS b FROM t JOIN s a ON t.url = a.url JOIN s b ON t.target = b.url WHERE a.site <> b.site),
+s AS (SELECT *, CASE WHEN contains(url, '://') THEN concat('https://', regexp_replace(host, '^(?:www|m)\.', ''), CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END, regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)?', 1)) ELSE url END AS site FROM u),
+e AS (SELECT url AS a, target AS b FROM t WHERE url <> target UNION SELECT url, site FROM s WHERE url <> site),
 ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT DISTINCT site AS a, site AS b FROM s WHERE site IS NOT NULL UNION SELECT x.a, y.b FROM reach x JOIN ee y ON x.b = y.a),
-v AS (SELECT reach.a AS site, bool_or(verdict = 'allow') AS allows, bool_or(verdict = 'block') AS blocks FROM reach JOIN j ON reach.b = j.site GROUP BY reach.a)
+reach AS (SELECT DISTINCT a, a AS b FROM ee UNION SELECT x.a, y.b FROM reach x JOIN ee y ON x.b = y.a),
+n AS (SELECT url, {LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT url FROM u UNION SELECT b FROM ee)),
+r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (SELECT url, concat(h, p) AS rule, verdict, row_number() OVER (PARTITION BY url ORDER BY length(h) + length(p) DESC, length(h) DESC) AS rn FROM n JOIN r ON (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, p)),
+j AS (SELECT n.*, rule, verdict FROM n LEFT JOIN f ON n.url = f.url AND f.rn = 1),
+v AS (SELECT reach.a AS url, min(reach.b) AS component, bool_or(verdict = 'allow') AS allows, bool_or(verdict = 'block') AS blocks FROM reach JOIN j ON reach.b = j.url GROUP BY reach.a)
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END AS verdict,
-  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allows OR blocks THEN 'alias' ELSE 'default' END AS source
-FROM pages LEFT JOIN j ON pages.url IS NOT DISTINCT FROM j.url LEFT JOIN v ON j.site = v.site
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN allows OR blocks THEN 'alias' ELSE 'default' END AS source, coalesce(component, pages.url) AS component
+FROM pages LEFT JOIN j ON pages.url IS NOT DISTINCT FROM j.url LEFT JOIN v ON j.url = v.url
 """

@@ -1,11 +1,11 @@
 """URL filters with redirect equivalence.
 
 Rules allow or block hosts and path prefixes. A page without a rule takes the
-verdict of the pages it is an alias of: redirects (given edges, meta refresh
-tags, and those that sites do by convention: https, no ``www.`` or ``m.``, no
-fragment) and canonical links tie URLs together, and connected components of
-those ties pass decisions on. An explicit allow comes before a block.
-DataFrame functions only.
+verdict of the pages it is an alias of: redirects (given edges, all meta refresh
+tags of a page, and those that sites do by convention: https, no ``www.`` or
+``m.``, no slash at the end, no fragment) and all canonical links of a page are
+edges between URLs, and connected components of those edges pass decisions on.
+An explicit allow comes before a block. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -47,9 +47,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def site_url(url: Column) -> Column:
-    """Where the redirects that sites do by convention lead: https, host in lower case without ``www.`` or ``m.``, at least ``/`` as path, query kept, no fragment."""
-    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    """Where the redirects that sites do by convention lead: https, host in lower case without ``www.`` or ``m.``, no slashes at the end of the path but for ``/`` alone, query kept, no fragment."""
+    host, bare = F.regexp_replace(host_of(url), r"^(?:www|m)\.", ""), F.regexp_replace(path_of(url), "/+$", "")
+    path = F.when(bare == "", "/").otherwise(bare)
     return F.when(F.locate("://", url) > 0, F.concat(F.lit("https://"), host, path, F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)?", 1))).otherwise(url)
 
 
@@ -65,48 +65,50 @@ def absolute(target: Column, base: Column) -> Column:
     )
 
 
-def page_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): canonical links and meta refreshes of ``pages``, as site URLs."""
+def page_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b): each page's URL and the targets of all its canonical links and meta refreshes."""
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.col(url_col)
-    head = F.lower(html)
-    link = F.when(F.contains(head, F.lit("canonical")), F.regexp_extract(html, LINK, 1))
-    jump = F.when(F.contains(head, F.lit("refresh")), F.regexp_extract(html, REFRESH, 1))
-    each = pages.where(url.isNotNull()).select(url.alias("url"), F.explode(F.array(link, jump)).alias("target")).where("target <> ''")
-    each = each.select("url", F.replace("target", F.lit("&amp;"), F.lit("&")).alias("target"))
-    return each.select(site_url(F.col("url")).alias("a"), site_url(absolute(F.col("target"), F.col("url"))).alias("b")).where("a <> b").distinct()
+    head, none = F.lower(html), F.array().cast("array<string>")
+    links = F.when(F.contains(head, F.lit("canonical")), F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).otherwise(none)
+    jumps = F.when(F.contains(head, F.lit("refresh")), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1))).otherwise(none)
+    each = pages.where(url.isNotNull()).select(url.alias("a"), F.explode(F.concat(links, jumps)).alias("target")).where("target <> ''")
+    return each.select("a", absolute(F.replace("target", F.lit("&amp;"), F.lit("&")), F.col("a")).alias("b"))
+
+
+def url_edges(urls: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): ``links``, and an edge from each of ``urls`` and of the ends of ``links`` to where its site's conventions lead."""
+    ends = urls.toDF("a").unionByName(links.select(F.explode(F.array("a", "b")).alias("a"))).where("a is not null")
+    return links.unionByName(ends.select("a", site_url(F.col("a")).alias("b"))).where("a <> b").distinct()
 
 
 def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, rules=RULES, default: str = "allow") -> DataFrame:
-    """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``source`` (rule, alias or default) of each row of ``pages``.
-
-    ``redirects``: (from, to) URLs besides those that the pages themselves tell.
-    A page with a rule has the rule's verdict. Others take that of their
-    component of aliases: allow if a member (a page or a URL that is linked to)
-    has an explicit allow, else block if one has a block, else ``default``.
-    Null or odd URLs have an empty host and path and the default. Repeated rows
-    give repeated rows.
+    """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``source`` (rule, alias or default) and ``component`` of each row of ``pages``.
+
+    Edges come from the conventions of sites (every URL), from the canonical and
+    refresh tags of ``html_col`` and from ``redirects``, (from, to) URLs besides.
+    The synthetic ``pages`` table has no such tags, so its edges are all by
+    convention. ``component`` is the smallest URL that edges reach. A page with a
+    rule has the rule's verdict. Others take that of their component: allow if a
+    member (a page or a URL that is linked to) has an explicit allow, else block
+    if one has a block, else ``default``. Null or odd URLs have an empty host and
+    path and the default; a null URL has no component. Repeated rows give
+    repeated rows, an empty table an empty one.
     """
     url = F.col(url_col)
-    slim = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), site_url(url).alias("site"), host_of(url).alias("host"), path_of(url).alias("path"))
-    judged = slim.withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
-    edges = page_edges(pages, url_col=url_col, html_col=html_col) if html_col else None
+    judged = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
+    judged = judged.withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
+    links = page_links(pages, url_col=url_col, html_col=html_col) if html_col else None
     if redirects is not None:
-        given = redirects.toDF("a", "b").where("a is not null and b is not null").select(site_url(F.col("a")).alias("a"), site_url(F.col("b")).alias("b")).where("a <> b")
-        edges = given if edges is None else edges.unionByName(given)
-    says = lambda v, c: F.max((F.col(c) == v).cast("int")).alias(v)
-    sites = judged.where("own is not null").groupBy("site").agg(says("allow", "own.verdict"), says("block", "own.verdict"))
-    if edges is not None:
-        parts = materialise(connected_components(edges), "aliases")
-        told = parts.withColumn("own", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)).where("own is not null")
-        sites = sites.unionByName(told.groupBy(F.col("node").alias("site")).agg(says("allow", "own.verdict"), says("block", "own.verdict")))
-        sites = sites.groupBy("site").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-        known = parts.select(F.col("node").alias("site"), "component")
-        verdicts = sites.join(known, "site", "left").groupBy(F.coalesce("component", "site").alias("component")).agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-        members = known.join(verdicts, "component").select("site", "allow", "block")
-        alone = verdicts.join(known.select(F.col("site").alias("component")).distinct(), "component", "left_anti").select(F.col("component").alias("site"), "allow", "block")
-        sites = members.unionByName(alone)
-    sites = sites.select(F.col("site").alias("alias"), F.when(F.col("allow") == 1, "allow").otherwise("block").alias("passed"))
-    open_ = judged.where("own is null").drop("own").join(sites, F.col("site") == F.col("alias"), "left")
-    rest = open_.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("passed", F.lit(default)).alias("verdict"), F.when(F.col("passed").isNotNull(), "alias").otherwise("default").alias("source"))
-    ruled = judged.where("own is not null").select("page_id", "host", "path", "own.rule", "own.verdict", F.lit("rule").alias("source"))
-    return ruled.unionByName(rest)
+        given = redirects.toDF("a", "b").where("a is not null and b is not null")
+        links = given if links is None else links.unionByName(given)
+    links = pages.sparkSession.createDataFrame([], "a string, b string") if links is None else links
+    parts = materialise(connected_components(url_edges(pages.select(url), links)), "aliases")
+    told = parts.withColumn("own", rule_for(host_of(F.col("node")), path_of(F.col("node")), rules)).where("own is not null")
+    says = lambda v: F.max((F.col("own.verdict") == v).cast("int")).alias(v)
+    known = parts.join(told.groupBy("component").agg(says("allow"), says("block")), "component", "left")
+    known = known.select(F.col("node"), "component", F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block").alias("passed"))
+    rows = judged.join(known, F.col("url") == F.col("node"), "left")
+    return rows.select(
+        "page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "passed", F.lit(default)).alias("verdict"),
+        F.when(F.col("own").isNotNull(), "rule").when(F.col("passed").isNotNull(), "alias").otherwise("default").alias("source"), F.coalesce("component", "url").alias("component"),
+    )
