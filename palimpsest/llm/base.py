@@ -49,7 +49,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The table survives the loss of executors and cuts the lineage. It goes when
-    the application ends.
+    :func:`discard` is called, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}-{label}"
@@ -57,7 +57,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     small_batches(df).write.parquet(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        df._scratch.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(df._scratch, True)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -1,76 +1,69 @@
 """Brown class-based bigram model: word classes by exchange clustering.
 
-Every word has a unit: each of the FREQUENT commonest words is its own, all
-other words share units by the end of the word, and the end of a document has
-one. Units are exchanged between classes first, one by one, on their bigrams in
-the whole training text. From there every word of MIN_COUNT occurrences or more
-is exchanged by itself, so the clustered vocabulary grows with the corpus: in
-each round the classes of its neighbours are counted for each word (sparse, and
-shuffled by word), and each word moves to its best class; sets of TOGETHER words
-do so side by side, for which the neighbours stay in the classes they had. The classes of the round with the highest likelihood are taken. Only rarer and
-unseen words have the class of their unit. The probability of a word is
+Every word of the training texts has a class. First, units are exchanged between
+classes one by one, on their bigrams in the whole training text: each of the
+CORE commonest words is a unit, all other words share ENDINGS units by their last
+bytes, and the end of a text is one. From there all KNOWN commonest words are
+exchanged by themselves: in each round the classes of its neighbours are counted
+for each word (sparse, and shuffled by word), and each word moves to its best
+class, side by side, for which the neighbours stay in the classes they had; only
+words of HEAVY occurrences or more, which change the bigrams of classes by much,
+do so one after the other within a batch. Rounds go on until no word moves, the likelihood falls
+or ROUNDS are over; the classes of the best round are taken, and the model tells
+whether it converged. All other words, as many as the corpus has, get their best
+class from the summed classes of their known neighbours, in one shuffle by word.
+What is known of a word's neighbours is shrunk towards those of its ending, which
+count for PRIOR occurrences: a word that stands once would else learn its one
+place by heart. Only words that never stood in the training texts have the class
+of their ending. The probability of a word is
 
     P(class | class before) * P(word | class)
 
-with both factors smoothed. Word counts stay in a table. Scoring looks the
-LOOKUP commonest words up in a broadcast of that size and joins only the rest,
-counted per document, with the table.
+with both factors smoothed. The tables of known words are bounded and broadcast;
+rare words stay in a table, which is joined with the rare words of the texts to
+be scored, and with their neighbours. Texts are split twice: once to count
+words, once to be written as ids, of which all else is made.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import partial
-from itertools import groupby
+from itertools import repeat
 from math import log10
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise, small_batches, text_batches
-
-FREQUENT, GROUPS, CLASSES = 767, 256, 64
-UNITS = FREQUENT + GROUPS + 1
-END = UNITS - 1
-#: Words of the broadcast table, and their longest in bytes; other words are joined.
-LOOKUP, LONGEST = 200_000, 64
-#: Added to word counts; weight of the class distribution in transitions.
-ALPHA, BETA = 0.1, 5.0
-SWEEPS = 12
-#: Words that occur as often are exchanged by themselves; rounds of that.
-MIN_COUNT, ROUNDS = 20, 1
-#: Words that move one after the other, each knowing the moves before it; such sets of words move at once.
-TOGETHER = 4096
+from .base import discard, materialise, small_batches, text_batches
+
+#: Words that are units; hashes of the last three bytes of a word; classes (class 0 is the end of a text alone).
+CORE, ENDINGS, CLASSES = 767, 256, 64
+UNITS = CORE + ENDINGS + 1
+#: Words of the broadcast tables, and their longest in bytes; other words are rare and joined.
+KNOWN, LONGEST = 200_000, 64
+#: Added to word counts in the base score, and within a class; weight of the class distribution in transitions.
+ALPHA, EMIT, BETA = 0.1, 0.5, 5.0
+#: Sweeps of the exchange of the core; rounds of that of all known words.
+SWEEPS, ROUNDS = 12, 2
+#: Words of as many occurrences are left out of the bigrams of classes before they choose.
+HEAVY = 1000
 #: Cells of a word: classes after it, classes before it, itself.
 CELLS = 2 * CLASSES + 1
+#: Occurrences that the neighbours of its ending count for in the choice of a word's class.
+PRIOR = 10.0
 #: Tokens that are counted at once.
-TOKENS = 1_000_000
-#: Counters and caches of a task start anew at this many entries.
+TOKENS = 3_000_000
+#: Counters of a task are handed on at this many entries.
 ENTRIES = 400_000
 
 
-def unit_of(word: bytes, frequent: dict[bytes, int]) -> int:
-    u = frequent.get(word)
-    return FREQUENT + zlib.crc32(word[-3:]) % GROUPS if u is None else u
-
-
-def ids_of(words: list[bytes], frequent: dict[bytes, int], own: np.ndarray) -> np.ndarray:
-    """Of each word its unit, or UNITS plus its place in ``own``, the sorted hashes of the words that are exchanged by themselves."""
-    ids = np.fromiter((unit_of(w, frequent) for w in words), np.int64, len(words))
-    if len(own):
-        far = np.flatnonzero(ids >= FREQUENT)
-        h = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in far), np.uint64, len(far))
-        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-        ids[far] = np.where(own[at] == h, UNITS + at, ids[far])
-    return ids
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 10; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -92,117 +85,161 @@ def _word_counts(batches):
     yield flush()
 
 
-def _own_words(batches, frequent):
-    table = frequent.value
-    for batch in batches:
-        words = [w for w in batch.column("word").to_pylist() if w not in table]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array([unit_of(w, table) for w in words], pa.int32())], names=["h", "unit"])
+def _ending(word: bytes) -> int:
+    return crc32(word[-3:]) % ENDINGS
 
 
-def _as_ids(batches, tables):
-    """The texts as int32 ids, an end before the first and after each; a row per slice of texts."""
-    frequent, own = tables.value
-    cache: dict[bytes, int] = {}
-    for _, texts in text_batches(batches):
-        held = [np.array([END], np.int32)]
+def _as_ids(batches, known, kind):
+    """Each text as int32 ids: a known word's rank, or -1 - i for the i-th of the text's rare words, which stand beside with their endings."""
+    rank = known.value
+    row = TaskContext.get().partitionId() << 33
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary())), ("endings", pa.binary())])
+    for batch, texts in text_batches(batches):
+        ids, rare = [], []
         for text in texts:
             words = text.lower().split()
-            if len(cache) > ENTRIES:
-                cache.clear()
-            if new := list(set(words).difference(cache)):
-                cache.update(zip(new, ids_of(new, frequent, own).tolist(), strict=True))
-            held.append(np.fromiter(map(cache.__getitem__, words), np.int32, len(words)))
-            held.append(held[0])
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["ids"])
-
-
-def _pairs(batches):
-    """Neighbours (ids before, ids after), some TOKENS at a time."""
-    a, b, size = [], [], 0
+            x = np.fromiter(map(rank.get, words, repeat(-1)), np.int32, len(words))
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(x < 0).tolist():
+                x[i] = -1 - seen.setdefault(words[i], len(seen))
+            ids.append(x.tobytes())
+            rare.append(list(seen))
+        endings = [bytes(map(_ending, x)) for x in rare]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), batch.column("held_out"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(endings, pa.binary())], schema=schema)
+        row += len(texts)
+
+
+def _flat(held: list[pa.RecordBatch], end: int) -> np.ndarray:
+    """The ids of all texts in a row, an end before the first and after each; a rare word is ``end`` + 1 + its ending."""
+    stop = np.array([end], np.int32)
+    out = [stop]
+    for batch in held:
+        for raw, e in zip(batch.column("ids"), batch.column("endings"), strict=True):
+            x = np.frombuffer(raw.as_buffer(), np.int32)
+            far = np.flatnonzero(x < 0)
+            if len(far):
+                x = x.copy()
+                x[far] = np.frombuffer(e.as_buffer(), np.uint8)[-1 - x[far]] + np.int32(end + 1)
+            out += [x, stop]
+    return np.concatenate(out)
+
+
+def _pieces(batches, end: int):
+    """(ids in a row, batches) of some TOKENS at a time."""
+    held, size = [], 0
     for batch in batches:
-        for raw in batch.column("ids"):
-            u = np.frombuffer(raw.as_buffer(), np.int32)
-            a.append(u[:-1])
-            b.append(u[1:])
-            size += len(u)
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("ids"))).as_py() // 4
             if size > TOKENS:
-                yield np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-                a, b, size = [], [], 0
-    if size:
-        yield np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+                yield _flat(held, end), held
+                held, size = [], 0
+    if held:
+        yield _flat(held, end), held
 
 
-def _unit_bigrams(batches, home):
-    unit, cells = home.value, np.zeros(UNITS * UNITS, np.int64)
-    for a, b in _pairs(batches):
-        cells += np.bincount(unit[a] * UNITS + unit[b], minlength=UNITS * UNITS)
+def _unit_bigrams(batches, units, end: int):
+    unit, cells = units.value.astype(np.int32), np.zeros(UNITS * UNITS, np.int64)
+    for u, _ in _pieces(batches, end):
+        x = unit[u]
+        cells += np.bincount(x[:-1] * UNITS + x[1:], minlength=UNITS * UNITS)
     at = np.flatnonzero(cells)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells[at], pa.int64())], names=["cell", "n"])
 
 
-def _contexts(batches, labels, bigrams_only):
-    """Class bigrams (id -1), and the cells of each id that is no frequent word and no end (a row per id and TOKENS: cells as bytes, counts as uint32)."""
-    label, m = labels.value.astype(np.int64), np.zeros(CLASSES * CLASSES, np.int64)
-    schema = pa.schema([("id", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
+def _packed(code: np.ndarray):
+    """Of codes (id * CELLS + cell): ids, their cells as bytes, the counts as uint32."""
+    code.sort()
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    n = np.diff(np.append(first, len(code)))
+    id_, cell = np.divmod(code[first], CELLS)
+    ends = np.append(np.flatnonzero(np.diff(id_, prepend=-1)), len(id_))
 
-    def packed(values, ends):
+    def binary(values):
         return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-    for a, b in _pairs(batches):
-        m += np.bincount(label[a] * CLASSES + label[b], minlength=CLASSES * CLASSES)
-        if bigrams_only:
-            continue
-        first, then = (a >= FREQUENT) & (a != END), (b >= FREQUENT) & (b != END) & (a != b)
-        after = a[first] * CELLS + np.where(a[first] == b[first], 2 * CLASSES, label[b[first]])
-        code, n = np.unique(np.concatenate((after, b[then] * CELLS + CLASSES + label[a[then]])), return_counts=True)
-        if len(code):
-            id_, cell = np.divmod(code, CELLS)
-            ends = np.concatenate(([0], np.flatnonzero(np.diff(id_)) + 1, [len(id_)]))
-            none = pa.nulls(len(ends) - 1)
-            cols = [pa.array(id_[ends[:-1]], pa.int32()), packed(cell.astype(np.uint8), ends), packed(n.astype(np.uint32), ends), none.cast(pa.int32()), none.cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
-    at = np.flatnonzero(m)
+    return id_[ends[:-1]], binary(cell.astype(np.uint8)), binary(n.astype(np.uint32))
+
+
+def _contexts(batches, tables, end: int, sums_only: bool):
+    """Sums (id -1): class bigrams, then the cells of each ending; and the cells of each known word beyond the core (a row per word and piece)."""
+    label, unit = (x.astype(np.int32) for x in tables.value)
+    sums, by_ending = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(ENDINGS * CELLS, np.int64)
+    schema = pa.schema([("id", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
+    for u, _ in _pieces(batches, end):
+        a, b = u[:-1], u[1:]
+        c = label[u]
+        sums += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+        first, then = (a >= CORE) & (a != end), (b >= CORE) & (b != end) & ((a != b) | (b > end))
+        ids = np.concatenate((a[first], b[then]))
+        cells = np.concatenate((np.where((a == b) & (a < end), 2 * CLASSES, c[1:])[first], CLASSES + c[:-1][then]))
+        by_ending += np.bincount((unit[ids] - CORE) * CELLS + cells, minlength=ENDINGS * CELLS)
+        own = ids < end
+        if own.any() and not sums_only:
+            ids, cells, counts = _packed(ids[own] * CELLS + cells[own])
+            none = pa.nulls(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), cells, counts, none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+    sums = np.concatenate((sums, by_ending))
+    at = np.flatnonzero(sums)
     none = pa.nulls(len(at)).cast(pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1), pa.int32()), none, none, pa.array(at, pa.int32()), pa.array(m[at])], schema=schema)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1), pa.int32()), none, none, pa.array(at, pa.int32()), pa.array(sums[at])], schema=schema)
+
+
+def _dense(batch: pa.RecordBatch, at: np.ndarray, n: int) -> np.ndarray:
+    """The cells of the batch's rows, summed into ``n`` rows by their places ``at``."""
+    size = pc.binary_length(batch.column("cells")).to_numpy()
+    cell = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8)
+    count = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint32)
+    return np.bincount(np.repeat(at, size) * CELLS + cell, count, n * CELLS).reshape(n, CELLS)
 
 
-def _by_id(batches):
-    """Each id and its cells, of rows sorted by id."""
-    now, x = None, np.zeros(CELLS)
+def _by_key(batches, key: str):
+    """(keys, cells) of rows sorted by key, some keys at a time and each key once."""
+    held = None
     for batch in batches:
-        for id_, cell, n in zip(*(batch.column(c).to_pylist() for c in ("id", "cells", "counts")), strict=True):
-            if id_ != now:
-                if now is not None:
-                    yield now, x
-                now, x = id_, np.zeros(CELLS)
-            x += np.bincount(np.frombuffer(cell, np.uint8), np.frombuffer(n, np.uint32), CELLS)
-    if now is not None:
-        yield now, x
+        for i in range(0, batch.num_rows, 8192):
+            part = batch.slice(i, 8192)
+            names = part.column(key)
+            new = np.concatenate(([True], pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)))
+            keys = [names[j].as_py() for j in np.flatnonzero(new).tolist()]
+            cells = _dense(part, np.cumsum(new) - 1, len(keys))
+            if held and held[0][-1] == keys[0]:
+                cells[0] += held[1][-1]
+                held = held[0][:-1], held[1][:-1]
+            if held and held[0]:
+                yield held
+            held = keys, cells
+    if held:
+        yield held
 
 
 def _moved(batches, tables):
-    """Of rows sorted by id, sets of TOGETHER ids whole: the ids whose likelihood is higher in another class, and the best class."""
-    label, start = tables.value
-    for _, words in groupby(_by_id(batches), lambda x: x[0] // TOGETHER):
-        ids, best, m = [], [], start.copy()
-        for id_, x in words:
-            r, p, self_ = x[:CLASSES], x[CLASSES : 2 * CLASSES], x[-1]
-            k = int(label[id_])
-            m[k] -= r
-            m[:, k] -= p
-            m[k, k] -= self_
-            gain = _gain(m, r, p, self_)
+    """Of rows sorted by id: the ids that are likelier in another class than their own, and the best class."""
+    label, unit, start, usual = tables.value
+    follow, size = followers(start), start.sum(0)
+    for keys, cells in _by_key(batches, "id"):
+        ids = np.array(keys)
+        r, p, self_ = cells[:, :CLASSES], cells[:, CLASSES : 2 * CLASSES], cells[:, 2 * CLASSES]
+        n = np.maximum(r.sum(1), p.sum(1)) + self_
+        own, more = label[ids].astype(np.int64), usual[unit[ids] - CORE] * prior_share(n)[:, None]
+        value = likelihoods(r + more[:, :CLASSES], p + more[:, CLASSES:], self_, p.sum(1) + self_ + PRIOR * prior_share(n), follow, size)
+        best, row = value.argmax(1), np.arange(len(ids))
+        best = np.where(value[row, best] > value[row, own] + 1e-9, best, own)
+        m = start.copy()
+        for i in np.flatnonzero(n >= HEAVY).tolist():
+            k = own[i]
+            m[k] -= r[i]
+            m[:, k] -= p[i]
+            m[k, k] -= self_[i]
+            gain = _gain(m, r[i] + more[i, :CLASSES], p[i] + more[i, CLASSES:], self_[i])
             t = int(np.argmax(gain))
-            if gain[t] <= gain[k] + 1e-9:
-                t = k
-            else:
-                ids.append(id_)
-                best.append(t)
-            m[t] += r
-            m[:, t] += p
-            m[t, t] += self_
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(best, pa.int32())], names=["id", "label"])
+            best[i] = t = t if gain[t] > gain[k] + 1e-9 else k
+            m[t] += r[i]
+            m[:, t] += p[i]
+            m[t, t] += self_[i]
+        far = best != own
+        yield pa.RecordBatch.from_arrays([pa.array(ids[far], pa.int32()), pa.array(best[far], pa.int32())], names=["id", "label"])
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -267,143 +304,261 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return label
 
 
-@dataclass
-class BrownModel:
-    """What training leaves: tables of bounded size, but for ``own`` and ``label`` (9 bytes per word of MIN_COUNT occurrences), and ``counts`` (word, n) of all training words."""
+def prior_share(n):
+    """What share of PRIOR counts for a word of ``n`` occurrences."""
+    return PRIOR / (PRIOR + n)
 
-    counts: DataFrame
-    tokens: int
-    types: int
-    documents: int
-    frequent: dict[bytes, int] = field(repr=False)
-    known: dict[bytes, int] = field(repr=False)
-    label: np.ndarray = field(repr=False)
-    transition: np.ndarray = field(repr=False)  # log10, class before by class
-    emission: np.ndarray = field(repr=False)  # log10 of the divisor, by class
-    own: np.ndarray = field(repr=False)  # sorted hashes of the other words with a class of their own
-    base: float = 0.0  # log10 of the divisor
 
-    def tables(self) -> dict:
-        return {k: getattr(self, k) for k in ("frequent", "own", "known", "label", "transition", "emission", "base", "documents")}
+def followers(m: np.ndarray) -> np.ndarray:
+    """log of the probability of a class after a class."""
+    size = m.sum(0)
+    return np.log((m + BETA * (size + 1) / (size.sum() + CLASSES)) / (m.sum(1, keepdims=True) + BETA))
 
 
-def _class_types(batches, tables):
-    n = np.zeros(CLASSES, np.int64)
-    frequent, own, label = tables.value
-    for batch in batches:
-        n += np.bincount(label[ids_of(batch.column("word").to_pylist(), frequent, own)], minlength=CLASSES)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(n)], names=["label", "n"])
+def likelihoods(r: np.ndarray, p: np.ndarray, self_: np.ndarray, n: np.ndarray, follow: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of words with ``r`` and ``p`` (classes after and before), ``self_`` (after themselves) and ``n`` occurrences the log-likelihood in each class, but for the end's, whose bigrams they don't change."""
+    share = np.log((size + 1) / (size.sum() + CLASSES))
+    value = r @ follow.T + p @ follow + self_[:, None] * np.diag(follow) + (n - p.sum(1) - self_)[:, None] * share - n[:, None] * np.log(size + 1)
+    value[:, 0] = -np.inf
+    return value
+
 
+def usual_neighbours(by_ending: np.ndarray) -> np.ndarray:
+    """Classes after and before an occurrence of a word with each ending, PRIOR times."""
+    cells = by_ending[:, : 2 * CLASSES].copy()
+    for side in (cells[:, :CLASSES], cells[:, CLASSES:]):
+        side *= PRIOR / np.maximum(side.sum(1, keepdims=True), 1)
+    return cells
 
-def exchange_words(ids: DataFrame, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``label`` (class of each id) after up to ROUNDS rounds in which all ids but the frequent words and the end move, and the class bigrams."""
+
+def exchange_words(ids: DataFrame, label: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """After rounds in which all known words but the core move: ``label`` (class of each known word, the end, and each ending), the class bigrams, :func:`usual_neighbours`, and how many moved in each round; 0 in the end if it converged."""
     spark = ids.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    best = None
+    parts, end, share = int(spark.conf.get("spark.sql.shuffle.partitions")), len(label) - 1 - ENDINGS, spark.sparkContext.broadcast
+    best, moved = None, []
     for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        seen = ids.mapInArrow(partial(_contexts, labels=spark.sparkContext.broadcast(label), bigrams_only=last), "id int, cells binary, counts binary, cell int, n long")
+        last = turn == ROUNDS or end <= CORE
+        seen = ids.mapInArrow(partial(_contexts, tables=share((label, unit)), end=end, sums_only=last), "id int, cells binary, counts binary, cell int, n long")
         seen = seen if last else materialise(seen, "contexts")
-        m = np.zeros(CLASSES * CLASSES)
-        for r in seen.where("id < 0").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CLASSES x CLASSES rows
-            m[r.cell] = r.n
-        m = m.reshape(CLASSES, CLASSES)
+        sums = np.zeros(CLASSES * CLASSES + ENDINGS * CELLS)
+        for r in seen.where("id < 0").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most as many rows as cells
+            sums[r.cell] = r.n
+        m, usual = sums[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), usual_neighbours(sums[CLASSES * CLASSES :].reshape(ENDINGS, CELLS))
         value = _xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum()
         if best is not None and value <= best[0]:
             break
-        best = value, label, m
+        best = value, label, m, usual
         if last:
             break
-        tables = spark.sparkContext.broadcast((label, m))
-        rows = seen.where("id >= 0").select("id", "cells", "counts").repartition(parts, F.floor(F.col("id") / TOGETHER)).sortWithinPartitions("id")
-        moves = rows.mapInArrow(partial(_moved, tables=tables), "id int, label int").toArrow()  # a row per word that moves
+        rows = seen.where("id >= 0").select("id", "cells", "counts").repartition(parts, "id").sortWithinPartitions("id")
+        moves = rows.mapInArrow(partial(_moved, tables=share((label, unit, m, usual))), "id int, label int").toArrow()  # a row per known word that moves
+        moved.append(moves.num_rows)
+        discard(seen)
         if not moves.num_rows:
             break
         label = label.copy()
         label[moves.column("id").to_numpy()] = moves.column("label").to_numpy()
-    return best[1], best[2]
+    return *best[1:], moved
+
+
+def _rare_words(u: np.ndarray, held: list[pa.RecordBatch], end: int):
+    """Places of rare words in ``u``, and where the words stand in the list of all rare words of the texts, which comes third."""
+    lists = pa.chunked_array([x.column("rare") for x in held]).combine_chunks()
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))[:-1]
+    size = pc.binary_length(pa.chunked_array([x.column("ids") for x in held])).to_numpy() // 4
+    raw = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for part in held for x in part.column("ids")] or [np.zeros(0, np.int32)])
+    far = np.flatnonzero(raw < 0)
+    return np.flatnonzero(u > end), np.repeat(first, size)[far] - 1 - raw[far], lists.flatten()
+
+
+def _rare_contexts(batches, labels, end: int):
+    """Each rare word of a piece once: the cells of its known neighbours, and how often it stands there."""
+    label = labels.value.astype(np.int64)
+    for u, held in _pieces(batches, end):
+        at, word, all_ = _rare_words(u, held, end)
+        if len(at):
+            coded = all_.dictionary_encode()
+            word = coded.indices.to_numpy()[word].astype(np.int64)
+            (after, x), (before, y) = ((z <= end, z[z <= end]) for z in (u[at + 1], u[at - 1]))
+            ids, cells, counts = _packed(np.concatenate((word * CELLS + 2 * CLASSES, word[after] * CELLS + label[x], word[before] * CELLS + CLASSES + label[y])))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(ids)), cells, counts], names=["word", "cells", "counts"])
+
+
+def _placed(batches, tables):
+    """Of rows sorted by word: its count and best class; then what this adds to the bigrams of classes, which had it in the class of its ending."""
+    follow, size, usual, classes = tables.value
+    extra = np.zeros((CLASSES, CLASSES))
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("label", pa.int32()), ("cell", pa.int32()), ("m", pa.float64())])
+    for words, cells in _by_key(batches, "word"):
+        r, p, n = cells[:, :CLASSES], cells[:, CLASSES : 2 * CLASSES], cells[:, 2 * CLASSES]
+        e = np.fromiter(map(_ending, words), np.int64, len(words))
+        more = usual[e] * prior_share(n)[:, None]
+        best = likelihoods(r + more[:, :CLASSES], p + more[:, CLASSES:], 0 * n, n + PRIOR * prior_share(n), follow, size).argmax(1)
+        for sign, c in ((1, best), (-1, classes[e])):
+            np.add.at(extra, c, sign * r)
+            np.add.at(extra.T, c, sign * p)
+        none = pa.nulls(len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(best, pa.int32()), none.cast(pa.int32()), none.cast(pa.float64())], schema=schema)
+    at = np.flatnonzero(extra)
+    none = pa.nulls(len(at))
+    yield pa.RecordBatch.from_arrays([none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(at, pa.int32()), pa.array(extra.ravel()[at])], schema=schema)
+
+
+def ending(word: Column) -> Column:
+    """A hash of the last three bytes."""
+    return F.pmod(F.crc32(F.substring(word, -3, 3)), F.lit(ENDINGS)).cast("int")
+
+
+def numbers(values) -> Column:
+    """A literal array of doubles."""
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
 
 
-def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
-    """Train on all rows of ``docs``; null and empty texts are only an end."""
-    spark = docs.sparkSession
+@dataclass
+class BrownModel:
+    """What training leaves: tables of bounded size, and ``rare`` (word, n, label) of all other training words."""
+
+    rare: DataFrame
+    tokens: int
+    types: int
+    documents: int
+    known: dict[bytes, int] = field(repr=False)  # word -> rank
+    times: np.ndarray = field(repr=False)  # by rank; the last is the end
+    label: np.ndarray = field(repr=False)  # by rank
+    endings: np.ndarray = field(repr=False)  # class of a word that is not in the training texts
+    transition: np.ndarray = field(repr=False)  # log10, class before by class
+    emission: np.ndarray = field(repr=False)  # log10 of the divisor, by class
+    moved: list[int] = field(default_factory=list)  # known words that moved, by round
+    base: float = 0.0  # log10 of the divisor
+
+    @property
+    def converged(self) -> bool:
+        return not self.moved or self.moved[-1] == 0
+
+
+def as_ids(docs: DataFrame, known: dict[bytes, int], *, id_col: str, text_col: str) -> DataFrame:
+    """``rid`` (one per row), ``doc_id``, ``held_out``, ``ids``, ``rare`` and ``endings`` of each row of ``docs``, written once."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    slim = small_batches(docs).select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    kind = slim.schema["doc_id"].dataType
+    step = partial(_as_ids, known=docs.sparkSession.sparkContext.broadcast(known), kind=to_arrow_type(kind))
+    return materialise(slim.mapInArrow(step, f"rid long, doc_id {kind.simpleString()}, held_out boolean, ids binary, rare array<binary>, endings binary"), "ids")
+
+
+def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(word, n) of all texts."""
     slim = small_batches(docs).select(F.col(text_col).alias("text"))
-    counts = materialise(slim.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return materialise(slim.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def known_words(counts: DataFrame) -> dict[bytes, int]:
+    """The KNOWN commonest words and how often they stand; the commonest first."""
+    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    return dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
+
+
+def fit_ids(ids: DataFrame, counts: DataFrame, known: dict[bytes, int]) -> BrownModel:
+    """Train on the rows of ``ids`` (:func:`as_ids` with the ranks of ``known``); ``counts``: :func:`count_words` of the same texts."""
+    spark = ids.sparkSession
+    share, parts = spark.sparkContext.broadcast, int(spark.conf.get("spark.sql.shuffle.partitions"))
     words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    documents = slim.count()
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()
-    known = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    frequent = {w: i for i, w in enumerate(list(known)[:FREQUENT])}
-    share = spark.sparkContext.broadcast(frequent)
-    own = counts.where(F.col("n") >= MIN_COUNT).mapInArrow(partial(_own_words, frequent=share), "h long, unit int").toArrow()  # 12 bytes per word
-    units = own.column("unit").to_numpy()
-    own, first = np.unique(own.column("h").to_numpy().astype(np.uint64), return_index=True)
-    home = np.concatenate((np.arange(UNITS), units[first]))
-    ids = materialise(slim.mapInArrow(partial(_as_ids, tables=spark.sparkContext.broadcast((frequent, own))), "ids binary"), "ids")
-    cells = ids.mapInArrow(partial(_unit_bigrams, home=spark.sparkContext.broadcast(home)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS x UNITS rows
+    documents, end = ids.count(), len(known)
+    home = np.fromiter(map(_ending, known), np.int64, end) + CORE
+    home[:CORE] = np.arange(min(end, CORE))
+    unit = np.concatenate((home, [UNITS - 1], CORE + np.arange(ENDINGS)))
+    cells = ids.mapInArrow(partial(_unit_bigrams, units=share(unit), end=end), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS x UNITS rows
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    label, m = exchange_words(ids, exchange(bigrams.reshape(UNITS, UNITS))[home].astype(np.uint8))
-    size, tokens = m.sum(0), words + documents
+    label, m, usual, moved = exchange_words(ids, exchange(bigrams.reshape(UNITS, UNITS))[unit].astype(np.uint8), unit)
+    times = np.append(np.fromiter(known.values(), np.int64, end), documents)
+    size, follow = m.sum(0), followers(m)
+    label, endings = label[: end + 1], label[end + 1 :].astype(np.int64)
+    seen = ids.where(F.size("rare") > 0).select("ids", "rare", "endings").mapInArrow(partial(_rare_contexts, labels=share(label), end=end), "word binary, cells binary, counts binary")
+    placed = seen.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(partial(_placed, tables=share((follow, size, usual, endings))), "word binary, n long, label int, cell int, m double")
+    placed = materialise(placed, "placed")
+    for r in placed.where("word is null").groupBy("cell").agg(F.sum("m").alias("m")).collect():  # at most CLASSES x CLASSES rows
+        m[r.cell // CLASSES, r.cell % CLASSES] += r.m
+    rare = placed.where("word is not null").select("word", "n", "label")
+    size, kinds = np.bincount(label, times, CLASSES), np.bincount(label[:-1], minlength=CLASSES).astype(float)
+    for r in rare.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():  # a row per class
+        size[r.label] += r.n
+        kinds[r.label] += r.kinds
+    tokens = int(words) + documents
     prior = (size + 1) / (tokens + CLASSES)
     transition = np.log10((m + BETA * prior) / (m.sum(1, keepdims=True) + BETA))
-    per = counts.mapInArrow(partial(_class_types, tables=spark.sparkContext.broadcast((frequent, own, label))), "label int, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()
-    kinds = np.zeros(CLASSES)
-    for r in per:
-        kinds[r.label] = r.n
-    emission = np.log10(size + ALPHA * (kinds + 1))
-    ends = int(documents > 0)
-    return BrownModel(counts, int(tokens), int(types) + ends, documents, frequent, known, label, transition, emission, own, log10(tokens + ALPHA * (types + ends + 1)))
-
-
-def _scored(batches, model, kind):
-    """Per document a row of what is known at once, and a row for each other word with its count."""
-    t = model.value
-    known, frequent, own, label = t["known"], t["frequent"], t["own"], t["label"]
-    row = TaskContext.get().partitionId() << 33
-    cache: dict[bytes, int] = {}
-    classes: list[int] = []
-    logs: list[float] = []
-    end_log = log10(t["documents"] + ALPHA) - t["base"]
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("word", pa.binary()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    emission = np.log10(size + EMIT * (kinds + 1))
+    all_ = int(types) + int(documents > 0)
+    return BrownModel(rare, tokens, all_, documents, {w: i for i, w in enumerate(known)}, times, label, endings, transition, emission, moved, log10(tokens + ALPHA * (all_ + 1)))
 
-    def batch_of(cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    for batch, texts in text_batches(batches):
-        summary, misses = [], ([], [], [])
-        for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts, strict=True):
-            words = text.lower().split()
-            if len(cache) > len(known) + ENTRIES:
-                cache.clear()
-                classes.clear()
-                logs.clear()
-            new = list(set(words).difference(cache))
-            classes.extend(label[ids_of(new, frequent, own)].tolist())
-            for w in new:
-                cache[w] = len(logs)
-                logs.append(log10(known[w] + ALPHA) if w in known else np.nan)
-            ids = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-            kinds, times = np.unique(ids, return_counts=True)
-            c, value = np.array([classes[i] for i in kinds], np.int64), np.array([logs[i] for i in kinds])
-            miss = np.isnan(value)
-            seen = float((value * times)[~miss].sum())
-            path = np.zeros(len(words) + 2, np.int64)  # class 0 is the end, before and after
-            path[1:-1] = c[np.searchsorted(kinds, ids)]
-            base = seen - t["base"] * len(words) + end_log
-            score = seen - float((t["emission"][c] * times).sum()) + float(t["transition"][path[:-1], path[1:]].sum())
-            summary.append((row, doc, out, None, None, len(words) + 1, int(times[~miss].sum()) + (t["documents"] > 0), base, score))
-            if miss.any():
-                word_of = dict(zip(ids.tolist(), words, strict=True))
-                gone = kinds[miss].tolist()
-                misses[0].extend([row] * len(gone))
-                misses[1].extend(word_of[i] for i in gone)
-                misses[2].extend(times[miss].tolist())
-            row += 1
-        yield batch_of(list(zip(*summary, strict=True)) or [()] * len(schema))
-        if misses[0]:
-            none = pa.nulls(len(misses[0]))
-            yield pa.RecordBatch.from_arrays([none.cast(f.type) if f.name not in ("rid", "word", "tf") else pa.array(misses[("rid", "word", "tf").index(f.name)], f.type) for f in schema], schema=schema)
+def class_by_ending(word: Column, endings: np.ndarray) -> Column:
+    return F.element_at(numbers(endings), ending(word) + 1).cast("int")
+
+
+def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
+    """Train on all rows of ``docs``; null and empty texts are only an end."""
+    counts = count_words(docs, text_col=text_col)
+    known = known_words(counts)
+    return fit_ids(as_ids(docs, {w: i for i, w in enumerate(known)}, id_col=text_col, text_col=text_col), counts, known)
+
+
+def _scored(batches, model, end: int, kind):
+    """Per text a row of what its known words and their bigrams give; for each place of a rare word, and for two of them side by side, a row to be joined."""
+    times, label, transition, emission, base = model.value
+    logs, inner = (np.append(np.log10(times + x), 0.0) for x in (ALPHA, EMIT))  # the last is for rare words
+    inner, label = inner - emission[np.append(label, 0)], np.append(label, 0).astype(np.int64)
+    inner[end:] = 0.0  # the end is sure within its class
+    known_end = int(times[end] > 0)
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("next", pa.binary()), ("left", pa.int32()), ("right", pa.int32())])
+
+    def batch_of(n, **cols):
+        return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    for u, held in _pieces(batches, end):
+        rows = pa.Table.from_batches(held)
+        rid = rows.column("rid").to_numpy()
+        first = np.concatenate(([0], np.flatnonzero(u == end)[1:]))  # the end before each text, and the last one
+        here, v = u <= end, np.minimum(u, end + 1)
+        c, token = label[v], logs[v][1:]
+        step = np.where(here[:-1] & here[1:], transition[c[:-1], c[1:]], 0.0) + inner[v][1:]
+        sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
+        n = np.diff(first)
+        yield batch_of(len(rid), rid=pa.array(rid), doc_id=rows.column("doc_id").combine_chunks(), held_out=rows.column("held_out").combine_chunks(), n_tokens=pa.array(n), n_known=pa.array(sums(here[1:].astype(np.int64)) - 1 + known_end), base_score=pa.array(sums(token) - n * base), score=pa.array(sums(step)))
+        at, place, words = _rare_words(u, held, end)
+        if len(at):
+            text = np.searchsorted(first, at) - 1
+            side = lambda to: pa.array(c[to], pa.int32(), mask=~here[to])
+            yield batch_of(len(at), rid=pa.array(rid[text]), word=words.take(pa.array(place)), left=side(at - 1), right=side(at + 1))
+            two = np.flatnonzero(np.diff(at) == 1)
+            yield batch_of(len(two), rid=pa.array(rid[text[two]]), word=words.take(pa.array(place[two])), next=words.take(pa.array(place[two + 1])))
+
+
+def score_ids(ids: DataFrame, model: BrownModel) -> DataFrame:
+    """The second half of :func:`score`."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, end = ids.schema["doc_id"].dataType, len(model.known)
+    tables = ids.sparkSession.sparkContext.broadcast((model.times, model.label, model.transition, model.emission, model.base))
+    schema = f"rid long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, next binary, left int, right int"
+    parts = materialise(ids.mapInArrow(partial(_scored, model=tables, end=end, kind=to_arrow_type(kind)), schema), "scored")
+    follow, divisor = numbers(model.transition.ravel()), numbers(model.emission)
+    step = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.element_at(follow, F.coalesce(a, F.lit(0)) * CLASSES + F.coalesce(b, F.lit(0)) + 1)).otherwise(0.0)
+
+    def classed(df: DataFrame, word: str, out: str, n: str) -> DataFrame:
+        side = model.rare.select(F.col("word").alias("_w"), F.col("n").alias(n), F.col("label").alias(out))
+        return df.join(side, F.col(word) == F.col("_w"), "left").drop("_w").withColumn(out, F.coalesce(out, class_by_ending(F.col(word), model.endings)))
+
+    one = classed(parts.where("word is not null and next is null").select("rid", "word", "left", "right"), "word", "c", "n")
+    log, inner = (F.log10(F.coalesce("n", F.lit(0)) + x) for x in (ALPHA, EMIT))
+    gain = inner - F.element_at(divisor, F.col("c") + 1) + step("left", "c") + step("c", "right")
+    one = one.select("rid", log.alias("more"), gain.alias("gain"), F.coalesce(F.col("n") > 0, F.lit(False)).cast("long").alias("also"))
+    two = classed(classed(parts.where("next is not null").select("rid", "word", "next"), "word", "c", "n"), "next", "d", "k")
+    two = two.select("rid", F.lit(0.0).alias("more"), step("c", "d").alias("gain"), F.lit(0).cast("long").alias("also"))
+    found = one.unionByName(two).groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("more", "gain", "also")))
+    rows = parts.where("word is null").select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(found, "rid", "left")
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    return rows.select("doc_id", "held_out", "n_tokens", plus("n_known", "also"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "more"), plus("score", "gain"))
 
 
 def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,24 +566,15 @@ def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_co
 
     ``base_score`` is the smoothed unigram log10 probability, ``score`` that of
     the class model; the end of the document is a token. Null and empty texts
-    are an end alone. Repeated rows give repeated rows. Perplexity is
-    10 ** (-score / n_tokens).
+    are an end alone. Repeated rows give repeated rows, an empty table an empty
+    one. Perplexity is 10 ** (-score / n_tokens).
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    slim = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType
-    share = docs.sparkSession.sparkContext.broadcast(model.tables())
-    schema = f"rid long, doc_id {kind.simpleString()}, held_out boolean, word binary, tf long, n_tokens long, n_known long, base_score double, score double"
-    parts = materialise(slim.mapInArrow(partial(_scored, model=share, kind=to_arrow_type(kind)), schema), "scored")
-    misses = parts.where("word is not null").select("rid", "word", "tf")
-    n = F.coalesce("n", F.lit(0))
-    found = misses.join(model.counts, "word", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(n + ALPHA)).alias("more"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("also"))
-    rows = parts.where("word is null").join(found, "rid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return score_ids(as_ids(docs, model.known, id_col=id_col, text_col=text_col), model)
 
 
 def brown_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`fit` on the rows that :func:`held_out` leaves, then :func:`score` of all rows."""
-    return score(docs, fit(docs.where(~held_out(F.col(id_col))), text_col=text_col), id_col=id_col, text_col=text_col)
+    """:func:`fit` on the rows that :func:`held_out` leaves, then :func:`score` of all rows; the ids are made once for both."""
+    counts = count_words(docs.where(~held_out(F.col(id_col))), text_col=text_col)
+    known = known_words(counts)
+    ids = as_ids(docs, {w: i for i, w in enumerate(known)}, id_col=id_col, text_col=text_col)
+    return score_ids(ids, fit_ids(ids.where("not held_out"), counts, known))
