@@ -38,6 +38,33 @@ class Files:
         out.close()
         return True
 
+    def create_whole(self, name: str, text: str) -> bool:
+        """Like :meth:`create`, but the file is seen whole or not at all.
+
+        It is claimed, written under a hidden name, which Spark's sources pass
+        over, and renamed. Claims that a crash left are removed by :meth:`sweep`.
+        """
+        folder, base = name.rsplit("/", 1)
+        claim, hidden = f"{folder}/.{base}.claim", f"{folder}/.{base}.new"
+        if self.exists(name) or not self.create(claim, ""):
+            return False
+        try:
+            if self.exists(name):  # another one was done between the two questions
+                return False
+            self.delete(hidden)
+            self.create(hidden, text)
+            if not self._fs.rename(self._path(hidden), self._path(name)):
+                raise IoError(f"can't rename to {name}")
+        finally:
+            self.delete(claim)
+        return True
+
+    def sweep(self, folder: str) -> None:
+        """Remove hidden files; only for the owner of the folder."""
+        for n in self.names(folder):
+            if n.startswith("."):
+                self.delete(f"{folder}/{n}")
+
     def replace(self, name: str, text: str) -> None:
         """Write beside, then rename over."""
         self.delete(name + ".new")
