@@ -111,24 +111,95 @@ def adjacent_edges(ops: DataFrame, txns: DataFrame) -> DataFrame:
     return seen.select(F.explode(each).alias("e")).select("e.*").where("src is not null and dst is not null and src <> dst").distinct()
 
 
-def in_cycles(edges: DataFrame, cut=None, rounds: int = 10_000) -> DataFrame:
-    """Nodes that remain when those without an edge in or out have been trimmed again and again: none, unless there is a cycle.
+def segments(rows: DataFrame, start: str, end: str, closed: bool = True, cells: int = 1024) -> DataFrame:
+    """``rows`` with ``segment``: the least ``start`` of the run of intervals it belongs to.
 
-    ``cut`` cuts the lineage of a round, by default a reliable checkpoint (set
-    ``spark.checkpoint.dir``).
+    A run ends where no interval reaches the next ``start``; with ``closed``,
+    touching is reaching. Rows are dealt by cells of their start, about ``cells``
+    in all, and what earlier cells reach, a row per cell, is broadcast; so no task
+    sorts the whole table.
     """
-    cut = cut or (lambda df: df.checkpoint())
-    now = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    n = now.count()
-    for _ in range(rounds):
-        if not n:
-            break
-        now = cut(now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        m = now.count()
-        if m == n:
-            break
-        n = m
-    return now.select(F.col("src").alias("txn")).distinct()
+    low, high = rows.agg(F.min(start), F.max(start)).first()
+    width = ((high or 0) - (low or 0)) // cells + 1
+    placed = rows.withColumn("_cell", F.floor((F.col(start) - F.lit(low or 0)) / width))
+    before = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # over a row per cell
+    reach = placed.groupBy("_cell").agg(F.max(end).alias("_end")).select("_cell", F.max("_end").over(before).alias("_reach"))
+    here = W.partitionBy("_cell").orderBy(start)
+    sofar = F.greatest(F.max(end).over(here.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
+    apart = F.col(start) > sofar if closed else F.col(start) >= sofar
+    cut = placed.join(F.broadcast(reach), "_cell").withColumn("_cut", F.when(sofar.isNull() | apart, F.col(start)))
+    carried = cut.groupBy("_cell").agg(F.max("_cut").alias("_last")).select("_cell", F.max("_last").over(before).alias("_came"))
+    own = F.max("_cut").over(here.rowsBetween(W.unboundedPreceding, 0))
+    return cut.join(F.broadcast(carried), "_cell").withColumn("segment", F.coalesce(own, "_came")).drop("_cell", "_reach", "_cut", "_came")
+
+
+def cycle_members(src: list, dst: list) -> list:
+    """Nodes of the strongly connected components of more than one node, by Tarjan's method without recursion."""
+    out: dict = {}
+    for a, b in zip(src, dst, strict=True):
+        out.setdefault(a, []).append(b)
+    order, low, open_, stack, found = {}, {}, set(), [], []
+    for root in out:
+        if root in order:
+            continue
+        todo = [(root, iter(out[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        open_.add(root)
+        while todo:
+            node, ahead = todo[-1]
+            for x in ahead:
+                if x not in order:
+                    order[x] = low[x] = len(order)
+                    stack.append(x)
+                    open_.add(x)
+                    todo.append((x, iter(out.get(x, ()))))
+                    break
+                if x in open_:
+                    low[node] = min(low[node], order[x])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == order[node]:
+                    at = stack.index(node) if stack[-1] != node else len(stack) - 1
+                    open_.difference_update(stack[at:])
+                    if len(stack) - at > 1:
+                        found += stack[at:]
+                    del stack[at:]
+    return found
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of edges sorted by segment; only the open segment is held."""
+    held = None
+    for batch in batches:
+        held = batch if held is None or not len(held) else pd.concat([held, batch], ignore_index=True)
+        done = held[held.segment != held.segment.iloc[-1]] if len(held) else held
+        if len(done):
+            yield pd.DataFrame({"txn": pd.Series(cycle_members(done.src.tolist(), done.dst.tolist()), dtype="int64")})
+            held = held[held.segment == held.segment.iloc[-1]]
+    if held is not None and len(held):
+        yield pd.DataFrame({"txn": pd.Series(cycle_members(held.src.tolist(), held.dst.tolist()), dtype="int64")})
+
+
+def in_cycles(edges: DataFrame, txns: DataFrame) -> DataFrame:
+    """The transactions that lie on a cycle of ``edges`` (src, dst), exactly.
+
+    A cycle comes back in commit order, so all its gaps lie under edges that lead
+    back. Runs of such overlapping edges cut the history into segments, in which
+    components are found one by one; a segment is held in one task, and rounds,
+    checkpoints and limits are not needed.
+    """
+    at = txns.where("commit_ts is not null").select("txn", "commit_ts")
+    side = lambda c: at.select(F.col("txn").alias(c), F.col("commit_ts").alias(f"{c}_at"))
+    timed = edges.select("src", "dst").where("src <> dst").distinct().join(side("src"), "src").join(side("dst"), "dst")
+    back = timed.where("dst_at <= src_at").select(F.lit(None).cast("long").alias("txn"), F.col("dst_at").alias("lo"), F.col("src_at").alias("hi"))
+    dots = at.select("txn", F.col("commit_ts").alias("lo"), F.col("commit_ts").alias("hi"))
+    of = segments(back.unionByName(dots), "lo", "hi").where("txn is not null").select("txn", "segment")
+    both = timed.join(of.withColumnsRenamed({"txn": "src"}), "src").join(of.withColumnsRenamed({"txn": "dst", "segment": "_to"}), "dst").where("segment = _to")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select("segment", "src", "dst").repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(_members, "txn long")
 
 
 def _replayed(batches: Iterator[pd.DataFrame], mode: str) -> Iterator[pd.DataFrame]:
@@ -137,8 +208,8 @@ def _replayed(batches: Iterator[pd.DataFrame], mode: str) -> Iterator[pd.DataFra
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            if r.history != now:
-                now, kept, last, readers, writers = r.history, {}, {}, {}, {}
+            if (r.history, r.segment) != now:
+                now, kept, last, readers, writers = (r.history, r.segment), {}, {}, {}, {}
             reads, writes = set(r.reads) if r.reads is not None else set(), set(r.writes) if r.writes is not None else set()
             why = None
             if any(last.get(k, -1) > r.begin_ts for k in writes):
@@ -181,18 +252,23 @@ def replay(ops: DataFrame, txns: DataFrame, mode: str = "ssi", history: str | No
     transaction as the middle counts, and readers of any time. Reads count as
     made at begin.
 
-    A decision hangs on those before it, so one history is one sequential
-    stream: it is read batch by batch in commit order and only transactions that
-    may still overlap are held. Independent histories (column ``history`` of
-    ``txns``) run in parallel.
+    A decision hangs on those before it, so a history is a sequential stream: it
+    is read batch by batch in commit order and only transactions that may still
+    overlap are held. Where no transaction is open a history is cut with no loss
+    (not for ``case1``), and its pieces run in parallel, as do independent
+    histories (column ``history`` of ``txns``; a piece is cut where no history has
+    a transaction open).
     """
     if mode not in ("si", "ssi", "case1"):
         raise ValueError(mode)
     h = F.col(history) if history else F.lit(0)
     sets = ops.groupBy("txn").agg(F.collect_set(F.when(F.col("op") == "r", F.col("k"))).alias("reads"), F.collect_set(F.when(F.col("op") != "r", F.col("k"))).alias("writes"))
-    w = W.partitionBy("history").orderBy(F.desc("commit_ts")).rowsBetween(W.unboundedPreceding, -1)
-    timed = txns.where("commit_ts is not null").select(h.cast("long").alias("history"), "txn", "begin_ts", "commit_ts").join(sets, "txn", "left")
-    ready = timed.withColumn("oldest", F.coalesce(F.min("begin_ts").over(w), F.lit((1 << 63) - 1))).repartition("history").sortWithinPartitions("history", "commit_ts")
+    w = W.partitionBy("history", "segment").orderBy(F.desc("commit_ts")).rowsBetween(W.unboundedPreceding, -1)
+    timed = txns.where("commit_ts is not null").select(h.cast("long").alias("history"), "txn", "begin_ts", "commit_ts")
+    timed = timed.withColumn("segment", F.lit(0).cast("long")) if mode == "case1" else segments(timed, "begin_ts", "commit_ts", closed=False)
+    parts = int(txns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = timed.join(sets, "txn", "left").withColumn("oldest", F.coalesce(F.min("begin_ts").over(w), F.lit((1 << 63) - 1)))
+    ready = ready.repartition(parts, "history", "segment").sortWithinPartitions("history", "segment", "commit_ts")
     return ready.mapInPandas(lambda it: _replayed(it, mode), "history long, txn long, committed boolean, reason string")
 
 
@@ -202,6 +278,12 @@ def violations(txns: DataFrame) -> DataFrame:
     return twice.unionByName(txns.where("commit_ts <= begin_ts").select("txn", F.lit("commit before begin").alias("broken")))
 
 
+def graph_size(edges: DataFrame, txns: DataFrame) -> DataFrame:
+    """Transactions and different edges, a row."""
+    n = edges.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("n_edges"))
+    return txns.agg(F.count(F.lit(1)).alias("n_txns")).crossJoin(n)  # one row each
+
+
 def abort_rate(outcomes: DataFrame) -> DataFrame:
     """Transactions, aborts and their share, 0 when there are none; of a boolean column ``committed``."""
     gone = F.count_if(~F.col("committed"))

@@ -35,7 +35,7 @@ def stress(ops: DataFrame, txns: DataFrame, mode: str = "ssi") -> DataFrame:
     """Per history: transactions, aborts, abort rate, and committed transactions on or between dependency cycles."""
     done = cut(history.replay(ops, txns, mode, "history"))
     good = done.where("committed").select("txn")
-    left = history.in_cycles(history.adjacent_edges(ops.join(good, "txn", "left_semi"), txns.join(good, "txn", "left_semi")), cut)
+    left = history.in_cycles(history.adjacent_edges(ops.join(good, "txn", "left_semi"), txns.join(good, "txn", "left_semi")), txns.join(good, "txn", "left_semi"))
     cyclic = left.join(done.select("txn", "history"), "txn").groupBy("history").agg(F.count(F.lit(1)).alias("_c"))
     gone = F.count_if(~F.col("committed"))
     per = done.groupBy("history").agg(F.count(F.lit(1)).alias("n_txns"), gone.alias("n_aborted"), (gone / F.count(F.lit(1))).alias("abort_rate"))

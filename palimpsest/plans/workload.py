@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,19 @@ from pyspark.sql import functions as F
 from palimpsest.functions.hashing import fnv1a_mod, uniform
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below that of ``spark.checkpoint.dir``, which goes when the application ends; only a local master may do without the setting."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/palimpsest-store-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``; only a local master may do without the setting."""
     sc = df.sparkSession.sparkContext

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from palimpsest.functions.encodings import digest_halves
 from palimpsest.operators import gc, history, learned, metrics, model, recovery, snapshot
 from palimpsest.plans import fixtures as fx
 from palimpsest.plans import simulation, stress, workload
+from palimpsest.sources.store import Db
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -111,12 +113,12 @@ def iter_versions_topk(spark, d):
     return snapshot.iter_versions(fx.version_log(spark, d), 5).select("k", "commit_ts", "is_delete", "v", F.col("nth").cast("long").alias("nth"))
 
 
-@query("overlay_read_your_writes", f"""WITH {V}, own AS (SELECT concat('user:', lpad(CAST(c_custkey % 250 AS VARCHAR), 8, '0')) AS k, bool_or(c_nationkey % 5 = 0) AS is_delete, max(round(c_acctbal, 2)) AS v FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1),
+@query("overlay_read_your_writes", f"""WITH {V}, own AS (SELECT concat('user:', lpad(CAST(c_custkey % 250 AS VARCHAR), 8, '0')) AS k, bool_or(c_nationkey % 5 = 0) AS is_delete, max(round(c_acctbal, 2)) AS v FROM customer GROUP BY 1),
 b AS (SELECT k, v FROM ({LAST}) WHERE NOT is_delete)
 SELECT k, CASE WHEN own.k IS NOT NULL THEN own.v ELSE b.v END AS v FROM b FULL OUTER JOIN own USING (k) WHERE own.is_delete IS NULL OR NOT own.is_delete""")
 def overlay_read_your_writes(spark, d):
     ts = _half(spark, d)
-    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0")
+    c = spark.read.parquet(f"{d}/customer.parquet")
     own = c.groupBy(F.concat(F.lit("user:"), F.lpad((F.col("c_custkey") % 250).cast("string"), 8, "0")).alias("k")).agg(F.bool_or(F.col("c_nationkey") % 5 == 0).alias("is_delete"), F.max(F.round("c_acctbal", 2)).alias("v"))
     return snapshot.overlay(snapshot.snapshot(fx.version_log(spark, d, upto=ts), ts), own)
 
@@ -215,21 +217,50 @@ def history_violations(spark, d):
     return history.violations(t)
 
 
-@query("ssi_replay")
+# decisions one after the other; the last 16 committed transactions are all that a new one can overlap
+REPLAY = f"""WITH RECURSIVE {H}, t AS (SELECT row_number() OVER (ORDER BY commit_ts) AS i, txn, begin_ts AS b, commit_ts AS c, coalesce(rs, CAST([] AS VARCHAR[])) AS rs, coalesce(ws, CAST([] AS VARCHAR[])) AS ws FROM txns
+  LEFT JOIN (SELECT txn, list(DISTINCT k) AS rs FROM ops WHERE op = 'r' GROUP BY txn) USING (txn) LEFT JOIN (SELECT txn, list(DISTINCT k) AS ws FROM ops WHERE op <> 'r' GROUP BY txn) USING (txn)),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS txn, CAST([] AS STRUCT(c BIGINT, r VARCHAR[], w VARCHAR[], i BOOLEAN, o BOOLEAN)[]) AS kept, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL SELECT i, txn, CASE WHEN reason IS NULL THEN list_append(list_transform(kept[-15:], lambda x: struct_pack(c := x.c, r := x.r, w := x.w, i := x.i OR (x.c > b AND list_has_any(rs, x.w)), o := x.o OR (x.c > b AND list_has_any(ws, x.r)))),
+    struct_pack(c := c, r := rs, w := ws, i := len(n) > 0, o := len(o) > 0)) ELSE kept END, reason
+  FROM (SELECT *, CASE WHEN len(ww) > 0 THEN 'write-write' WHEN MODE AND (len(n) > 0 AND len(o) > 0 OR len(list_filter(o, lambda x: x.o)) > 0 OR len(list_filter(n, lambda x: x.i)) > 0) THEN 'serialization' END AS reason
+  FROM (SELECT t.*, kept, list_filter(kept, lambda x: x.c > b AND list_has_any(rs, x.w)) AS o, list_filter(kept, lambda x: x.c > b AND list_has_any(ws, x.r)) AS n, list_filter(kept, lambda x: x.c > b AND list_has_any(ws, x.w)) AS ww FROM s JOIN t ON t.i = s.i + 1)))
+SELECT 0 AS history, txn, reason IS NULL AS committed, reason FROM s WHERE i > 0"""
+
+
+@query("ssi_replay", REPLAY.replace("MODE", "true"))
 def ssi_replay(spark, d):
     return history.replay(*_h(spark, d), mode="ssi")
 
 
-@query("si_replay")
+@query("si_replay", REPLAY.replace("MODE", "false"))
 def si_replay(spark, d):
     return history.replay(*_h(spark, d), mode="si")
 
 
-@query("cycle_check")
+# every reader tied to the version it sees and to the next one, every version to the next; then who reaches itself
+ADJACENT = """x AS (SELECT k, commit_ts AS t, 0 AS kind, txn FROM w UNION ALL SELECT k, begin_ts, 1, txn FROM r),
+y AS (SELECT *, last_value(CASE WHEN kind = 0 THEN txn END IGNORE NULLS) OVER (PARTITION BY k ORDER BY t, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+  first_value(CASE WHEN kind = 0 THEN txn END IGNORE NULLS) OVER (PARTITION BY k ORDER BY t, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM x),
+e AS (SELECT DISTINCT src, dst FROM (SELECT p AS src, txn AS dst FROM y UNION ALL SELECT txn, n FROM y WHERE kind = 1) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst)"""
+
+
+@query("adjacent_edges", f"WITH {H}, {ADJACENT} SELECT src, dst FROM e")
+def adjacent_edges(spark, d):
+    return history.adjacent_edges(*_h(spark, d)).select("src", "dst").distinct()
+
+
+@query("cycle_check", f"WITH RECURSIVE {H}, {ADJACENT}, reach AS (SELECT src, dst FROM e UNION SELECT reach.src, e.dst FROM reach JOIN e ON reach.dst = e.src) SELECT src AS txn FROM reach WHERE src = dst")
 def cycle_check(spark, d):
-    """Transactions of the raw history that lie on or between dependency cycles."""
+    """Transactions of the raw history that lie on dependency cycles."""
+    ops, txns = _h(spark, d)
+    return history.in_cycles(history.adjacent_edges(ops, txns), txns)
+
+
+@query("edge_counts", f"WITH {H}, {ADJACENT} SELECT (SELECT count(*) FROM txns) AS n_txns, (SELECT count(*) FROM e) AS n_edges")
+def edge_counts(spark, d):
     ops, txns = _h(spark, d)
-    return history.in_cycles(history.adjacent_edges(ops, txns), workload.cut)
+    return history.graph_size(history.adjacent_edges(ops, txns), txns)
 
 
 @query("abort_rate", "SELECT count(*) AS n_txns, count(*) FILTER (WHERE l_returnflag = 'R') AS n_aborted, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS abort_rate FROM lineitem")
@@ -320,20 +351,28 @@ def _binary_keys(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("order:"), F.lpad((F.col("o_orderkey") * F.col("o_orderkey") % 9_999_991).cast("string"), 10, "0")).cast("binary").alias("k"))
 
 
-@query("pgm_search")
+ORDER_KEYS = "o AS (SELECT DISTINCT concat('order:', lpad(CAST(o_orderkey * o_orderkey % 9999991 AS VARCHAR), 10, '0')) AS k FROM orders)"
+
+
+@query("pgm_search", f"WITH {ORDER_KEYS} SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, true AS found, true AS narrow FROM o")
 def pgm_search(spark, d):
+    """Every key lies in the window that the index gives, and no window is wider than the error allows."""
     placed = learned.positions(_binary_keys(spark, d), workload.cut)
     index = learned.pgm_build(placed)
-    return learned.pgm_search(placed, index, placed.count()).withColumn("found", (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
+    rows = learned.pgm_search(placed, index, placed.count())
+    return rows.select(F.col("k").cast("string").alias("k"), "pos", ((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).alias("found"), (F.col("hi") - F.col("lo") <= 2 * learned.EPSILON + 1).alias("narrow"))
 
 
-@query("bloom_probe")
+@query("bloom_probe", f"WITH {ORDER_KEYS} SELECT true AS present, count(*) AS n, true AS as_promised FROM o UNION ALL SELECT false, count(*), true FROM orders")
 def bloom_probe(spark, d):
-    keys = _binary_keys(spark, d)
-    n = keys.count()
-    bloom = learned.bloom_build(keys, n)
-    asked = keys.unionByName(spark.range(n).select(F.concat(F.lit("absent:"), F.col("id").cast("string")).cast("binary").alias("k")))
-    return learned.bloom_probe(asked, bloom, n)
+    """No present key is missed, and absent ones pass at less than twice the rate asked for."""
+    keys = _binary_keys(spark, d).distinct()
+    n, rate = keys.count(), 0.01
+    bloom = learned.bloom_build(keys, n, rate)
+    absent = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("absent:"), F.col("o_orderkey").cast("string")).cast("binary").alias("k"), F.lit(False).alias("present"))
+    rows = learned.bloom_probe(keys.withColumn("present", F.lit(True)).unionByName(absent), bloom, n, rate)
+    hits = F.count_if("may_contain")
+    return rows.groupBy("present").agg(F.count(F.lit(1)).alias("n"), F.when(F.col("present"), hits == F.count(F.lit(1))).otherwise(hits < 2 * rate * F.count(F.lit(1)) + 5).alias("as_promised"))
 
 
 # --- O: benchmarks
@@ -384,7 +423,7 @@ def tpcc_stock_invariant(spark, d):
 
 @query("ycsb_ops")
 def ycsb_ops(spark, d):
-    return workload.ycsb_ops(spark, "A", 100_000)
+    return workload.ycsb_ops(spark, "A", spark.read.parquet(f"{d}/orders.parquet").count())
 
 
 @query("txn_stress")
@@ -397,9 +436,9 @@ def failure_search(spark, d):
     return simulation.stats(simulation.run_all(spark, range(20), list(simulation.SCENARIOS.values())))
 
 
-@query("monotonic_violations", f"WITH {V} SELECT k, commit_ts FROM (SELECT k, CASE WHEN commit_ts % 97 = 0 THEN commit_ts - 1 ELSE commit_ts END AS commit_ts FROM v) GROUP BY k, commit_ts HAVING count(*) > 1")
+@query("monotonic_violations", f"WITH {V} SELECT k, commit_ts FROM (SELECT k, commit_ts - commit_ts % 500 AS commit_ts FROM v) GROUP BY k, commit_ts HAVING count(*) > 1")
 def monotonic_violations(spark, d):
-    v = fx.version_log(spark, d).withColumn("commit_ts", F.when(F.col("commit_ts") % 97 == 0, F.col("commit_ts") - 1).otherwise(F.col("commit_ts")))
+    v = fx.version_log(spark, d).withColumn("commit_ts", F.col("commit_ts") - F.col("commit_ts") % 500)
     return snapshot.monotonic_violations(v)
 
 
@@ -408,6 +447,131 @@ def dangerous_structures(spark, d):
     return history.dangerous(*_h(spark, d))
 
 
+# --- A to J: the store itself, on a folder of its own
+WRITES = """e AS (SELECT event_id, CAST(floor(event_id / 64) AS BIGINT) AS txn, concat('user:', lpad(CAST(user_id AS VARCHAR), 8, '0')) AS k, event_type = 'error' AS is_delete, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(event_id AS VARCHAR) END AS v FROM events),
+c AS (SELECT k, 2 * dense_rank() OVER (ORDER BY txn) AS commit_ts, is_delete, v, event_id, row_number() OVER (PARTITION BY txn, k ORDER BY event_id DESC) AS rn FROM e),
+s AS (SELECT k, commit_ts, is_delete, v FROM c WHERE rn = 1)"""
+
+
+def _written(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    gone = F.col("event_type") == "error"
+    return e.select("event_id", F.floor(F.col("event_id") / 64).alias("txn"), F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("k"), gone.alias("is_delete"), F.when(~gone, F.col("event_id").cast("string")).alias("v"))
+
+
+def _shown(versions):
+    return versions.select(F.col("k").cast("string").alias("k"), "commit_ts", "is_delete", F.col("v").cast("string").alias("v"))
+
+
+def _run_commits(spark, d, path, flush_every=0):
+    """Every 64 events as a transaction of a store, one after the other, from a sorted stream of the table."""
+    rows = _written(spark, d).orderBy("event_id").toLocalIterator(prefetchPartitions=True)
+    with Db.open(spark, path) as db:
+        for n, (_, group) in enumerate(groupby(rows, key=lambda r: r.txn)):
+            with db.begin() as t:
+                for r in group:
+                    t.delete(r.k.encode()) if r.is_delete else t.put(r.k.encode(), r.v.encode())
+                t.commit()
+            if flush_every and n % flush_every == flush_every - 1:
+                db.flush()
+
+
+@query("store_commits", f"WITH {WRITES} SELECT * FROM s")
+def store_commits(spark, d):
+    """What a store holds that was closed without a flush and recovered from its log."""
+    path = workload.scratch(spark)
+    _run_commits(spark, d, path)
+    with Db.open(spark, path) as db:
+        return _shown(db.versions())
+
+
+@query("store_flushed", f"WITH {WRITES} SELECT * FROM s")
+def store_flushed(spark, d):
+    """The same from parts and log together: a flush after every 50 commits."""
+    path = workload.scratch(spark)
+    _run_commits(spark, d, path, 50)
+    with Db.open(spark, path) as db:
+        return _shown(db.versions())
+
+
+@query("store_compacted", f"WITH {WRITES} SELECT k, commit_ts, is_delete, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY commit_ts DESC) AS rn FROM s) WHERE rn = 1")
+def store_compacted(spark, d):
+    """What a full compaction leaves at the newest watermark: the last version of each key."""
+    path = workload.scratch(spark)
+    _run_commits(spark, d, path, 50)
+    with Db.open(spark, path) as db:
+        db.compact_all()
+        db.vacuum()
+        return _shown(db.versions())
+
+
+@query("store_snapshot", f"WITH {V} SELECT k, v FROM (SELECT k, CAST(CAST(floor(v * 100) AS BIGINT) AS VARCHAR) AS v, is_delete FROM ({LAST})) WHERE NOT is_delete AND k >= 'user:00000010' AND k < 'user:00000200' AND k <> 'user:00000011' UNION ALL SELECT 'user:00000010~', 'own'")
+def store_snapshot(spark, d):
+    """A scan in a transaction with writes of its own, over a bulk load of versions up to the middle of the log."""
+    ts = _half(spark, d)
+    with Db.open(spark, workload.scratch(spark)) as db:
+        db.load(fx.version_log(spark, d, upto=ts).withColumn("v", F.floor(F.col("v") * 100).cast("string")))
+        t = db.begin()
+        t.put(b"user:00000010~", b"own")
+        t.delete(b"user:00000011")
+        rows = t.scan_df(b"user:00000010", b"user:00000200")
+        t.rollback()
+        return rows.select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query("pick_compaction", f"WITH {FILES}, z AS (SELECT min(min_key) AS lo, max(max_key) AS hi FROM f WHERE level = 0) SELECT file_num, 'input' AS role, 1 AS target FROM f WHERE level = 0 UNION ALL SELECT file_num, 'overlap', 1 FROM f, z WHERE level = 1 AND min_key <= hi AND max_key >= lo")
+def pick_compaction(spark, d):
+    task = gc.pick_compaction(fx.file_set(spark, d))
+    rows = [(n, role, task["target"]) for role, c in (("input", "inputs"), ("overlap", "overlaps")) for n in task[c]]
+    return spark.createDataFrame(rows, "file_num long, role string, target int")
+
+
+# --- M: more of the model
+@query("model_counts", f"WITH {M} SELECT count(*) FILTER (WHERE NOT is_delete) AS live_keys, count(*) AS all_keys FROM m")
+def model_counts(spark, d):
+    return model.counts(_model(spark, d)[1])
+
+
+@query("model_summary", f"""WITH {M}, c AS (SELECT CASE WHEN a.k IS NULL THEN 'missing' WHEN l.k IS NULL THEN 'unexpected' WHEN l.v IS NOT DISTINCT FROM a.v THEN 'matching' ELSE 'mismatch' END AS verdict FROM (SELECT * FROM m WHERE NOT is_delete) l FULL OUTER JOIN a USING (k))
+SELECT count(*) FILTER (WHERE verdict = 'matching') AS matching, count(*) FILTER (WHERE verdict IN ('mismatch', 'unexpected')) AS mismatches, count(*) FILTER (WHERE verdict = 'missing') AS missing_from_actual, count(*) FILTER (WHERE verdict = 'unexpected') AS unexpected_in_actual FROM c""")
+def model_summary(spark, d):
+    _, m, a = _model(spark, d)
+    return model.compare_summary(model.compare(m, a))
+
+
+RYW = """g AS (SELECT event_id AS op_no, concat('user:', lpad(CAST(user_id AS VARCHAR), 8, '0')) AS k, CASE WHEN event_type IN ('view', 'click') THEN 'get' WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, round(value, 2) AS v FROM events),
+h AS (SELECT *, last_value(CASE WHEN op <> 'get' THEN op END IGNORE NULLS) OVER w AS last_op, last_value(CASE WHEN op = 'put' THEN v WHEN op = 'delete' THEN -1 END IGNORE NULLS) OVER w AS last_v FROM g WINDOW w AS (PARTITION BY k ORDER BY op_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query("read_your_writes_violations", f"WITH {RYW}, z AS (SELECT op_no, k, CASE WHEN last_op = 'put' THEN last_v END AS want, CASE WHEN op_no % 3 <> 0 THEN CASE WHEN last_op = 'put' THEN last_v END ELSE v END AS got FROM h WHERE op = 'get') SELECT * FROM z WHERE want IS DISTINCT FROM got")
+def read_your_writes_violations(spark, d):
+    """Two thirds of the gets return what was written last, the others their own event's value."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    op = F.when(F.col("event_type").isin("view", "click"), "get").when(F.col("event_type") == "error", "delete").otherwise("put")
+    g = e.select(F.col("event_id").alias("op_no"), F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("k"), op.alias("op"), F.round("value", 2).alias("v"))
+    told = model.read_your_writes_violations(g.withColumn("v", F.when(F.col("op") != "get", F.col("v")).otherwise(-2.0))).select("op_no", "want")
+    g = g.join(told, "op_no", "left").withColumn("v", F.when((F.col("op") == "get") & (F.col("op_no") % 3 != 0), F.col("want")).otherwise(F.col("v"))).drop("want")
+    return model.read_your_writes_violations(g)
+
+
+@query("scan_differences", f"WITH {M}, x AS (SELECT row_number() OVER (ORDER BY k) AS pos, k, v FROM m WHERE NOT is_delete), y AS (SELECT row_number() OVER (ORDER BY k) AS pos, k, v FROM a) SELECT coalesce(x.pos, y.pos) AS pos, x.k AS want_k, x.v AS want_v, y.k AS got_k, y.v AS got_v FROM x FULL OUTER JOIN y ON x.pos = y.pos WHERE x.pos IS NULL OR y.pos IS NULL OR x.k <> y.k OR x.v IS DISTINCT FROM y.v")
+def scan_differences(spark, d):
+    _, m, a = _model(spark, d)
+    def numbered(df):
+        place = learned.positions(df.select(F.col("k").cast("binary").alias("k")), workload.cut).select(F.col("k").cast("string").alias("k"), (F.col("pos") + 1).alias("pos"))
+        return df.join(place, "k").select("pos", "k", "v")
+
+    out = model.scan_differences(numbered(m.where("not is_delete")), numbered(a))
+    return out.select("pos", F.col("want.k").alias("want_k"), F.col("want.v").alias("want_v"), F.col("got.k").alias("got_k"), F.col("got.v").alias("got_v"))
+
+
+@query("invariant_report", f"""WITH {M}, x AS (SELECT 'durability' AS "check", count(*) AS violations FROM m LEFT JOIN a ON m.k = a.k WHERE CASE WHEN m.is_delete THEN a.k IS NOT NULL ELSE a.k IS NULL OR m.v IS DISTINCT FROM a.v END
+UNION ALL SELECT 'phantoms', count(DISTINCT k) FROM a WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT 'itself', 0) SELECT "check", violations, violations = 0 AS passed FROM x""")
+def invariant_report(spark, d):
+    ops, m, a = _model(spark, d)
+    return model.report({"durability": model.durability_violations(m, a), "phantoms": model.phantom_keys(a, ops, a), "itself": model.durability_violations(m, m.where("not is_delete").select("k", "v"))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -156,7 +156,7 @@ def test_edges_and_cycles_like_brute_force(spark):
         want, edges = cyclic(h, {t[0] for t in h})
         got = {(r.src, r.dst) for df in (history.ww_edges(ops, txns), history.wr_edges(ops, txns)) for r in df.collect()} | {(r.src, r.dst) for r in history.rw_edges(ops, txns).collect() if dict((t[0], t[1]) for t in h)[r.src] < dict((t[0], t[2]) for t in h)[r.dst]}
         assert got == edges
-        assert (history.in_cycles(history.adjacent_edges(ops, txns), workload.cut).count() > 0) == want
+        assert (history.in_cycles(history.adjacent_edges(ops, txns), txns).count() > 0) == want
 
 
 def test_concurrent_edges_for_any_width(spark):
@@ -242,3 +242,48 @@ def test_summaries(spark):
     amp = spark.createDataFrame([("a", 10, 4), ("b", None, 4), ("c", 5, 0)], "label string, physical long, logical long")
     assert {r.label: r.amplification for r in metrics.amplification(amp).collect()} == {"a": 2.5, "b": None, "c": 1.0}
     assert history.abort_rate(rows.select((~F.col("aborted")).alias("committed")).limit(0)).first().abort_rate == 0
+
+
+def test_cycle_members_like_brute_force():
+    rng = random.Random(6)
+    for n in (3, 8, 20):
+        for _ in range(60):
+            edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))}
+            edges = [(a, b) for a, b in edges if a != b]
+            reach = set(edges)
+            while True:
+                more = {(a, d) for a, b in reach for c, d in edges if b == c} - reach
+                if not more:
+                    break
+                reach |= more
+            assert sorted(history.cycle_members(*zip(*edges, strict=True)) if edges else []) == sorted(x for x in range(n) if (x, x) in reach)
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1024])
+def test_segments_like_brute_force(spark, cells):
+    rng = random.Random(cells)
+    rows = [(i, a := rng.randrange(400), a + rng.choice([0, 1, 3, 20])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a long, b long")
+    for closed in (True, False):
+        want, reach, now = {}, None, None
+        for i, a, b in sorted(rows, key=lambda r: r[1]):
+            if reach is None or a > reach or (not closed and a == reach and now != a):
+                now = a
+            reach = b if reach is None else max(reach, b)
+            want[i] = now
+        got = {r.id: r.segment for r in history.segments(df, "a", "b", closed, cells).collect()}
+        assert {k: v for k, v in got.items() if closed} == {k: v for k, v in want.items() if closed}
+        assert len(got) == 120
+    assert history.segments(df.limit(0), "a", "b").count() == 0
+
+
+def test_cycles_over_long_ways(spark):
+    """A long chain without a cycle, and one that comes back over all of it."""
+    ops_edges = [(i, i + 1) for i in range(300)]
+    txns = spark.createDataFrame([(i, 10 * i, 10 * i + 5) for i in range(301)], "txn long, begin_ts long, commit_ts long")
+    chain = spark.createDataFrame(ops_edges, "src long, dst long")
+    assert history.in_cycles(chain, txns).count() == 0
+    back = spark.createDataFrame([*ops_edges, (300, 0), (40, 38)], "src long, dst long")
+    assert history.in_cycles(back, txns).count() == 301
+    two = spark.createDataFrame([*ops_edges, (40, 38), (200, 199)], "src long, dst long")
+    assert sorted(r.txn for r in history.in_cycles(two, txns).collect()) == [38, 39, 40, 199, 200]
