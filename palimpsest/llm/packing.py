@@ -138,8 +138,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     A document's ids are those of the tokenizer file, then END_ID, so null and
     empty texts have one. Sequences hold ``length`` ids, or a power of two at the
     end of a range; none needs padding. Equal documents share a curve key and
-    are told apart by hash and id; a hot key is spread over several ranges.
-    Repeated rows are packed as documents of their own.
+    are told apart by hash, id and row, so a hot key is spread over several
+    ranges. Repeated rows are packed as documents of their own; an empty table
+    gives an empty one.
 
     The ids are written once, with their key, into the shared folder, so that
     the sampling of ranges and the sort don't tokenise again.
@@ -161,5 +162,5 @@ def pack_ids(ids: DataFrame, *, path: str | None = None, length: int = LENGTH) -
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     struct = T.StructType.fromDDL(f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, {PIECE}")
     order = ["curve_key", "tie", "doc_id"]
-    ranged = materialise(ids, "ids").withColumn("tie", F.xxhash64("tie", "doc_id")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = materialise(ids, "ids").withColumn("tie", F.xxhash64("tie", "doc_id", F.monotonically_increasing_id())).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return ranged.select("doc_id", "ids").mapInArrow(partial(_packed, path=path or public_tokenizers.path(TOKENIZER), length=length, schema=to_arrow_schema(struct)), struct)
