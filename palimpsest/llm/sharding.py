@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions are quantised to a grid, rows are ordered by the
+Several metadata dimensions are quantised to a grid by the quantiles of all rows,
+so that each dimension's cells are about equally full, rows are ordered by the
 Hilbert index of their cell, and the order is cut into runs of equal counts.
 Each shard then holds a compact region in every dimension, so that the min/max
 statistics of its files prune reads that filter on any of them.
@@ -24,28 +25,33 @@ SHARDS = 8
 ROW_BITS = 33
 
 
-def bucket(value: Column, kind: str) -> Column:
-    """``value`` on a grid of 2**BITS cells: ``log`` for sizes (16 cells to a doubling, from 1 to 65,535), ``hash`` for categories."""
-    if kind == "log":
-        cell = F.floor(F.log2(F.greatest(F.coalesce(value, F.lit(0)), F.lit(1)).cast("double")) * 16)
-        return F.least(cell, F.lit((1 << BITS) - 1)).cast("long")
-    return F.pmod(F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))), F.lit(1 << BITS)).cast("long")
+def on_scale(value: Column, kind: str) -> Column:
+    """``value`` as a long: a ``number`` as it is, a ``category`` by its hash (null: that of an empty text)."""
+    if kind == "number":
+        return F.coalesce(value, F.lit(0)).cast("long")
+    return F.xxhash64(F.coalesce(value.cast("string"), F.lit("")))
 
 
-def _keys(batches, dims: list[str], out: str):
+def grid(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """For each column the bounds of its 2**BITS cells, quantiles of all rows (of a sketch, one row per task)."""
+    at = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    row = df.agg(*(F.percentile_approx(c, at, 10_000).alias(c) for c in columns)).first()
+    return [np.array(row[c] or [], np.int64) for c in columns]
+
+
+def _keys(batches, dims: list[str], bounds: list[np.ndarray], out: str):
     for batch in batches:
-        points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in dims], 1) if batch.num_rows else np.zeros((0, len(dims)))
+        points = np.stack([np.searchsorted(b, batch.column(c).to_numpy(zero_copy_only=False)) for c, b in zip(dims, bounds, strict=True)], 1)
         key = pa.array(hilbert_index(points.astype(np.uint64), BITS), pa.int64())
         rest = [i for i, n in enumerate(batch.schema.names) if n not in dims]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), key], names=[*(batch.schema.names[i] for i in rest), out])
 
 
-def with_curve_key(df: DataFrame, cells: dict[str, Column], out: str) -> DataFrame:
-    """``df`` and its Hilbert index over ``cells`` (name -> grid cell)."""
-    names = fresh(df, *cells)
-    full = small_batches(df).withColumns(dict(zip(names, cells.values(), strict=True)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` long"])
-    return full.mapInArrow(partial(_keys, dims=names, out=out), schema)
+def with_curve_key(df: DataFrame, dims: list[str], out: str) -> DataFrame:
+    """``df`` with its Hilbert index over ``dims`` (long columns, not null) in their place."""
+    rest = [f for f in df.schema if f.name not in dims]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{out}` long"])
+    return small_batches(df).mapInArrow(partial(_keys, dims=dims, bounds=grid(df, dims), out=out), schema)
 
 
 def cut_runs(rows: DataFrame, order: list[str], n_shards: int) -> DataFrame:
@@ -80,27 +86,29 @@ def cut_runs(rows: DataFrame, order: list[str], n_shards: int) -> DataFrame:
 def hilbert_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, str] | None = None, n_shards: int = SHARDS) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``curve_key``, ``shard`` and ``slot`` of each row of ``docs``; no text is shuffled.
 
-    ``dims``: column -> ``hash`` or ``log``; by default language, source and size.
+    ``dims``: column -> ``category`` or ``number``; by default language, source and size.
     Size is the UTF-8 bytes of the text plus 1 (null: 1, the crc of an empty
     text). Null metadata share a cell. Equal texts in a cell are neighbours.
-    Repeated rows get places of their own.
+    Repeated rows get places of their own, and are told apart by row, so they
+    fill no range alone. An empty table gives an empty one.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
-    dims = {"lang": "hash", "source": "hash", "size": "log"} if dims is None else dims
-    cells = {f"cell{i}": bucket(F.col("size") if c == "size" else F.col(f"dim{i}"), kind) for i, (c, kind) in enumerate(dims.items())}
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        *(F.col(c).alias(f"dim{i}") for i, c in enumerate(dims) if c != "size"),
-    )
-    keyed = with_curve_key(slim, cells, "curve_key").select("doc_id", "size", "text_crc32", "curve_key")
-    return cut_runs(keyed, ["curve_key", "text_crc32", "size", "doc_id"], n_shards)
+    dims = {"lang": "category", "source": "category", "size": "number"} if dims is None else dims
+    scales = {f"dim{i}": on_scale(size if c == "size" else F.col(c), kind) for i, (c, kind) in enumerate(dims.items())}
+    slim = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), *(v.alias(n) for n, v in scales.items()))
+    keyed = with_curve_key(slim, list(scales), "curve_key").select("doc_id", "size", "text_crc32", "curve_key", F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    return cut_runs(keyed, ["curve_key", "text_crc32", "size", "doc_id", "row"], n_shards).drop("row")
 
 
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", n_shards: int = SHARDS, **options) -> None:
-    """Write ``docs`` with ``shard`` and ``slot`` as Parquet, one folder a shard, sorted by slot.
+    """Write ``docs``, all columns, as Parquet, one folder a shard, sorted by slot.
 
-    ``id_col`` must be unique and not null; rows meet their shard by it.
+    The columns ``shard`` and ``slot`` are added, with a ``_`` before the name
+    where ``docs`` has such a column in any case. Rows meet their shard by
+    ``id_col``; null or repeated ids raise a ValueError before anything is written.
     """
-    at = hilbert_shards(docs, id_col=id_col, n_shards=n_shards, **options).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    extra = [c for c in ("shard", "slot") if c in docs.columns]
-    docs.drop(*extra).join(at, id_col).repartition("shard", (F.col("slot") / 100_000).cast("int")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        raise ValueError(f"{id_col} has null or repeated values")
+    shard, slot = fresh(docs, "shard", "slot")
+    at = hilbert_shards(docs, id_col=id_col, n_shards=n_shards, **options).select(F.col("doc_id").alias(id_col), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    docs.join(at, id_col).select(*docs.columns, shard, slot).repartition(shard, (F.col(slot) / 100_000).cast("int")).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 
+import pytest
+
 from palimpsest.llm.hilbert import hilbert_index
 from palimpsest.llm.sharding import hilbert_shards, write_shards
 
@@ -39,3 +41,31 @@ def test_files(spark, sf, tmp_path):
     write_shards(docs, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == docs.count() and {r.shard for r in back.select("shard").distinct().collect()} == set(range(8))
+
+
+def test_shards_keep_the_columns_and_refuse_repeated_ids(spark, odd, tmp_path):
+    with pytest.raises(ValueError):
+        write_shards(odd, str(tmp_path / "no"))
+    docs = odd.where("doc_id is not null and doc_id <> 3").withColumnRenamed("n", "SLOT")
+    write_shards(docs, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert set(back.columns) == {*docs.columns, "_shard", "_slot"}
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_repeated_rows_fill_no_range_alone(spark):
+    docs = spark.range(4000).selectExpr("7L doc_id", "'same' text", "'en' lang", "'a' source")
+    rows = hilbert_shards(docs)
+    assert rows.groupBy("shard").count().where("count <> 500").isEmpty()
+    ranges = rows.rdd.glom().map(len).collect()
+    assert max(ranges) < 4000
+
+
+def test_filters_read_a_part_of_the_files(spark):
+    """What a filter on one value of each dimension reads of 64 files, by their statistics; in order of ids it would be nearly all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hilbert_shards(docs, n_shards=64).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    share = {c: rows.groupby("shard")[c].nunique().sum() / (64 * rows[c].nunique()) for c in ("lang", "source")}
+    size = rows.groupby("shard")["size"].agg(["min", "max"])
+    share["size"] = ((size["min"] <= rows["size"].median()) & (size["max"] >= rows["size"].median())).mean()
+    assert share["lang"] < 0.7 and share["source"] < 0.5 and share["size"] < 0.7, share
