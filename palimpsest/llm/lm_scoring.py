@@ -7,8 +7,8 @@ bytes, and the end of a text is one. From there all KNOWN commonest words are
 exchanged by themselves: in each round the classes of its neighbours are counted
 for each word (sparse, and shuffled by word), and each word moves to its best
 class, side by side, for which the neighbours stay in the classes they had; only
-words of HEAVY occurrences or more, which change the bigrams of classes by much,
-do so one after the other within a batch. Rounds go on until no word moves, the likelihood falls
+words of HEAVY occurrences or more, or of a share of LARGE in their class, which
+change the bigrams of classes by much, do so one after the other within a batch. Rounds go on until no word moves, the likelihood falls
 or ROUNDS are over; the classes of the best round are taken, and the model tells
 whether it converged. All other words, as many as the corpus has, get their best
 class from the summed classes of their known neighbours, in one shuffle by word.
@@ -52,8 +52,8 @@ KNOWN, LONGEST = 200_000, 64
 ALPHA, EMIT, BETA = 0.1, 0.5, 5.0
 #: Sweeps of the exchange of the core; rounds of that of all known words.
 SWEEPS, ROUNDS = 12, 2
-#: Words of as many occurrences are left out of the bigrams of classes before they choose.
-HEAVY = 1000
+#: Words of as many occurrences, or of that share of their class, are left out of the bigrams of classes before they choose.
+HEAVY, LARGE = 1000, 0.01
 #: Cells of a word: classes after it, classes before it, itself.
 CELLS = 2 * CLASSES + 1
 #: Occurrences that the neighbours of its ending count for in the choice of a word's class.
@@ -227,7 +227,7 @@ def _moved(batches, tables):
         best, row = value.argmax(1), np.arange(len(ids))
         best = np.where(value[row, best] > value[row, own] + 1e-9, best, own)
         m = start.copy()
-        for i in np.flatnonzero(n >= HEAVY).tolist():
+        for i in np.flatnonzero((n >= HEAVY) | (n >= LARGE * size[own])).tolist():
             k = own[i]
             m[k] -= r[i]
             m[:, k] -= p[i]
