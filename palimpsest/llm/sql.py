@@ -44,13 +44,17 @@ SELECT s.doc_id, len(s.s) AS n_shingles, k.component_id, s.doc_id = k.component_
 OP10 = r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS h FROM documents),
 b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS h FROM benchmark),
-b AS (SELECT h, min(item_id) AS item_id, count(*) AS n_items FROM b0 WHERE len(h) >= 5 GROUP BY h),
+b AS (SELECT h, min(item_id) AS item_id, count(*) AS n_items FROM b0 WHERE len(h) > 0 GROUP BY h),
 ti AS (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM t),
 bi AS (SELECT item_id, h, unnest(range(1, len(h) + 1)) AS i FROM b),
 ts AS (SELECT doc_id, i - 1 AS i, unnest([CASE WHEN i + 4 <= len(h) THEN concat_ws(' ', 0, h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]) END, CASE WHEN i + 6 <= len(h) THEN concat_ws(' ', 1, h[i], h[i + 1], h[i + 3], h[i + 5], h[i + 6]) END,
-  CASE WHEN i + 8 <= len(h) THEN concat_ws(' ', 2, h[i], h[i + 1], h[i + 4], h[i + 6], h[i + 8]) END]) AS seed FROM ti),
+  CASE WHEN i + 8 <= len(h) THEN concat_ws(' ', 2, h[i], h[i + 1], h[i + 4], h[i + 6], h[i + 8]) END,
+  CASE WHEN i + 2 <= len(h) THEN concat_ws(' ', 3, h[i], h[i + 1], h[i + 2]) END, CASE WHEN i + 4 <= len(h) THEN concat_ws(' ', 4, h[i], h[i + 1], h[i + 3], h[i + 4]) END,
+  CASE WHEN i = 1 AND len(h) < 5 THEN concat_ws(' ', 5, array_to_string(h, ' ')) END]) AS seed FROM ti),
 bs AS (SELECT item_id, i - 1 AS j, unnest([CASE WHEN i + 4 <= len(h) THEN concat_ws(' ', 0, h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]) END, CASE WHEN i + 6 <= len(h) THEN concat_ws(' ', 1, h[i], h[i + 1], h[i + 3], h[i + 5], h[i + 6]) END,
-  CASE WHEN i + 8 <= len(h) THEN concat_ws(' ', 2, h[i], h[i + 1], h[i + 4], h[i + 6], h[i + 8]) END]) AS seed FROM bi),
+  CASE WHEN i + 8 <= len(h) THEN concat_ws(' ', 2, h[i], h[i + 1], h[i + 4], h[i + 6], h[i + 8]) END,
+  CASE WHEN i + 2 <= len(h) AND len(h) BETWEEN 5 AND 10 THEN concat_ws(' ', 3, h[i], h[i + 1], h[i + 2]) END, CASE WHEN i + 4 <= len(h) AND len(h) BETWEEN 5 AND 10 THEN concat_ws(' ', 4, h[i], h[i + 1], h[i + 3], h[i + 4]) END,
+  CASE WHEN i = 1 AND len(h) < 5 THEN concat_ws(' ', 5, array_to_string(h, ' ')) END]) AS seed FROM bi),
 hit AS (SELECT DISTINCT doc_id, item_id, i, j FROM ts JOIN bs USING (seed)),
 x AS (SELECT hit.doc_id, hit.item_id, n_items, i, j, t.h AS h, b.h AS g, least(i, j, 64) AS back FROM hit JOIN t ON hit.doc_id = t.doc_id JOIN b ON hit.item_id = b.item_id),
 y AS (SELECT *, least(len(h) - i, len(g) - j, 64) + back AS n_aligned FROM x),

@@ -1,8 +1,11 @@
 import random
 import re
+from itertools import combinations
 
-from palimpsest.llm import decontaminate
-from palimpsest.llm.decontaminate import MASKS, MIN_EQUAL, REACH, SHORT_SHARE, WEIGHT, leaks, without_leaks
+import duckdb
+
+from palimpsest.llm import decontaminate, sql
+from palimpsest.llm.decontaminate import LIGHT, MASKS, MIN_EQUAL, REACH, SHORT, SHORT_SHARE, WEIGHT, leaks, without_leaks
 
 
 def words(text):
@@ -14,18 +17,21 @@ def brute(docs, items):
     kinds = {}
     for k, t in items:
         w = tuple(words(t))
-        if len(w) >= WEIGHT:
+        if w:
             kinds[w] = min(k, kinds.get(w, k))
     out = set()
     for doc, text in docs:
         d = words(text)
         for w, k in kinds.items():
+            if len(w) < WEIGHT:
+                out |= {(doc, k)} if tuple(d) == w else set()
+                continue
             for shift in range(-len(w), len(d)):
                 lo, hi = max(0, -shift), min(len(w), len(d) - shift)
                 eq = [d[j + shift] == w[j] for j in range(lo, hi)]
-                if sum(eq) < WEIGHT:
+                if sum(eq) < 3:
                     continue
-                for m in MASKS:
+                for m in MASKS + LIGHT * (len(w) <= SHORT):
                     for j in range(len(eq) - len(m) + 1):
                         if all(eq[j + x] for x, c in enumerate(m) if c == "1"):
                             n = sum(eq[max(0, j - REACH) : j + REACH])
@@ -84,6 +90,29 @@ def test_both_ways_give_the_same_rows(spark, odd, monkeypatch):
     assert sorted(map(tuple, leaks(docs, items).collect()), key=str) == one
 
 
+def test_short_items(spark, odd, monkeypatch):
+    """Items of 5 to 12 tokens are found under every substitution that leaves four fifths of them; shorter ones only as whole documents."""
+    items, rows, want = [(0, "solo"), (1, "one Two"), (2, "p q r s")], [(1, "SOLO!"), (2, "one two"), (3, "p q r s"), (4, "a solo one two p q r s b"), (5, "p q r"), (6, None), (7, "")], {(1, 0), (2, 1), (3, 2)}
+    for n in range(5, 13):
+        item = [f"i{n}t{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        for size in range(n - -int(-n * SHORT_SHARE // 1) + 2):
+            for gone in combinations(range(n), size):
+                doc = len(rows) + 10
+                rows.append((doc, " ".join(["before", *("zz" if j in gone else w for j, w in enumerate(item)), "after"])))
+                if size <= n - -int(-n * SHORT_SHARE // 1):
+                    want.add((doc, n))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, leaks(docs, bench).collect()))
+    assert {r[:2] for r in one} == want
+    db = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        db.register(name, df.toArrow())
+    assert sorted(db.sql(sql.OP10).fetchall()) == one
+    monkeypatch.setattr(decontaminate, "small", lambda *a, **b: False)
+    assert sorted(map(tuple, leaks(docs, bench).collect())) == one
+
+
 def test_odd_tables(spark, sf, odd, empty):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert leaks(empty, benchmark).count() == 0 and leaks(odd, benchmark).count() == 0
