@@ -186,3 +186,10 @@ def sim_ops(spark: SparkSession, n: int, seed: int, keys: int = 100, mix: str =
     size = (F.floor(uniform(seed, F.col("id"), 3) * (most - least + 1)) + least).cast("int")
     df = spark.range(n).select(F.col("id").alias("op_no"), op.alias("op"), key.alias("k"), size.alias("v_len"))
     return df.select("op_no", F.when(F.col("op") == "internal", inner).otherwise(F.col("op")).alias("op"), F.when(F.col("op") != "internal", F.col("k")).alias("k"), F.when(F.col("op") == "put", F.col("v_len")).alias("v_len"))
+
+
+def operation_batches(ops: DataFrame, size: int) -> DataFrame:
+    """(batch, ops): the puts and deletes of each ``size`` operations of :func:`sim_ops`, in order; a batch without any has no row."""
+    one = F.struct("op_no", "op", "k", "v_len")
+    writes = ops.where(F.col("op").isin("put", "delete"))
+    return writes.groupBy(F.floor(F.col("op_no") / size).alias("batch")).agg(F.sort_array(F.collect_list(one)).alias("ops"))  # at most ``size`` in one

@@ -54,6 +54,9 @@ def test_sim_ops(spark):
     ops = workload.sim_ops(spark, 5000, 1)
     n = {r.op: r["count"] for r in ops.groupBy("op").count().collect()}
     assert abs(n["put"] - 2000) < 200 and abs(n["delete"] - 500) < 100 and n["flush"] + n["compact"] < 600
+    batches = workload.operation_batches(ops, 50).collect()
+    assert sum(len(r.ops) for r in batches) == n["put"] + n["delete"] and all(x.op_no // 50 == r.batch for r in batches for x in r.ops)
+    assert all([x.op_no for x in r.ops] == sorted(x.op_no for x in r.ops) for r in batches)
 
 
 def test_bytes(spark):
