@@ -95,11 +95,14 @@ def _searched(batches: Iterator[pa.RecordBatch], table: list[tuple[int, int, flo
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in (at, lo, hi))], names=[*batch.schema.names, "predicted", "lo", "hi"])
 
 
-def pgm_search(keys: DataFrame, index: DataFrame | None, n: int, epsilon: int = EPSILON, most: int = 1_000_000) -> DataFrame:
+def pgm_search(keys: DataFrame, index: DataFrame | None, n: int, epsilon: int = EPSILON, most: int = 1_000_000, materialise=None) -> DataFrame:
     """``predicted`` and the window [lo, hi) of places for each of ``keys`` (k); the whole range without an index.
 
     The index is many times smaller than the keys; it is collected while it has at
-    most ``most`` segments. Beyond, keys take their segment by an ordered pass.
+    most ``most`` segments. Beyond, keys and segments are ranged together, and a
+    key takes the last segment before it: in its range or, at the head of one,
+    from the ranges before, which are a row each. Equal keys are spread over
+    several ranges if they are many.
     """
     if index is None:
         return keys.withColumns({"predicted": F.lit(0).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(n).cast("long")})
@@ -108,11 +111,15 @@ def pgm_search(keys: DataFrame, index: DataFrame | None, n: int, epsilon: int =
         table = sorted((int.from_bytes(r.key_start, "big"), r.start_pos, r.slope) for r in index.collect())
         share = keys.sparkSession.sparkContext.broadcast(table)
         return keys.mapInArrow(lambda it: _searched(it, share.value, n, epsilon), schema)
-    padded = keys.withColumn("_x", F.substring(F.concat("k", F.unhex(F.lit("00" * 16))), 1, 16))
-    seg = index.select(F.col("key_start").alias("_x"), F.struct("key_start", "start_pos", "slope").alias("_s"))
-    w = W.partitionBy(F.substring("_x", 1, 2)).orderBy("_x", F.col("_s").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    both = padded.unionByName(seg, allowMissingColumns=True).withColumn("_s", F.last("_s", True).over(w)).where("k is not null")
-    return both.drop("_x").mapInPandas(lambda it: _windows(it, n, epsilon), schema)
+    padded = keys.withColumns({"_x": F.substring(F.concat("k", F.unhex(F.lit("00" * 16))), 1, 16), "_salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))})
+    seg = index.select(F.col("key_start").alias("_x"), F.lit(-1).cast("long").alias("_salt"), F.struct("key_start", "start_pos", "slope").alias("_s"))
+    ranged = padded.unionByName(seg, allowMissingColumns=True).repartitionByRange("_x", "_salt").withColumn("_p", F.spark_partition_id())
+    ranged = materialise(ranged) if materialise else ranged.checkpoint()
+    last = ranged.where("_s is not null").groupBy("_p").agg(F.max_by("_s", "_x").alias("_s"))
+    ends = ranged.select("_p").distinct().join(last, "_p", "left").select("_p", F.last("_s", True).over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    w = W.partitionBy("_p").orderBy("_x", "_salt").rowsBetween(W.unboundedPreceding, 0)
+    both = ranged.withColumn("_s", F.last("_s", True).over(w)).where("k is not null").join(F.broadcast(ends), "_p").withColumn("_s", F.coalesce("_s", "_before"))
+    return both.drop("_x", "_salt", "_p", "_before").mapInPandas(lambda it: _windows(it, n, epsilon), schema)
 
 
 def _windows(batches: Iterator[pd.DataFrame], n: int, epsilon: int):

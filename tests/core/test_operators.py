@@ -219,6 +219,9 @@ def test_learned_index_holds_its_error(spark):
     for most in (10**6, 0):
         got = learned.pgm_search(placed, index, len(keys), 16, most=most).where("pos < lo or pos >= hi").count()
         assert got == 0
+    many = placed.unionByName(placed.where("pos = 1500").select(F.explode(F.array_repeat("k", 2000)).alias("k"), "pos"))
+    got = learned.pgm_search(many, index, len(keys), 16, most=0, materialise=workload.cut)
+    assert got.count() == len(keys) + 2000 and got.where("pos < lo or pos >= hi or hi - lo > 33").count() == 0
     assert learned.pgm_build(placed.limit(10)) is None
     assert learned.pgm_search(placed.limit(1), None, 9).first().hi == 9
 
