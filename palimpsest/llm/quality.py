@@ -143,7 +143,9 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", host_col: str = "sourc
     """``docs``, all columns, without the documents that :func:`quality_rules` rejects.
 
     Two passes over the texts and no shuffle of them: the first leaves counts per
-    host, the second filters in place.
+    host, the second filters in place. Null and empty texts fail as those without
+    words; a null host is never rejected. Repeated rows are judged alike, and an
+    empty table stays empty.
     """
     slim = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
     rejected = materialise(host_verdicts(document_features(slim), max_rate).where("rejected").select("host", "rejected"), "hosts")

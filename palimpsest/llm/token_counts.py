@@ -88,8 +88,10 @@ def token_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The count is that of the tokenizer file at ``path`` (``.json``: tokenizers,
     ``.model``: sentencepiece), whole texts, no added special tokens; special
     strings inside a text count as the library has them by default. Null and
-    empty texts have 0 tokens. Repeated rows give repeated rows. ``frequent`` may
-    carry the table of an earlier run, else one pass over ``docs`` makes it.
+    empty texts have 0 tokens. Repeated rows give repeated rows, an empty table an empty
+    one. Long texts are worked on in parts, so that time and memory do not depend
+    on how text is dealt to documents. ``frequent`` may carry the table of an
+    earlier run, else one pass over ``docs`` makes it.
     """
     path = path or public_tokenizers.path(TOKENIZER)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
