@@ -98,14 +98,16 @@ def adjacent_edges(ops: DataFrame, txns: DataFrame) -> DataFrame:
 
     Each reader is tied to the version it sees and to the next one, each version
     to the next. The rest of ww, wr and rw edges are paths of these, so cycles
-    are the same.
+    are the same. Both neighbours come from running frames, one in each direction:
+    a frame that is open to the end would be read anew for every row.
     """
     ts = txns.where("commit_ts is not null").select("txn", "begin_ts", "commit_ts")
     w = write_set(ops).join(ts, "txn").select("k", F.col("commit_ts").alias("t"), F.lit(0).alias("kind"), F.col("txn").alias("writer"), F.lit(None).cast("long").alias("reader"))
     r = read_set(ops).join(ts, "txn").select("k", F.col("begin_ts").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("writer"), F.col("txn").alias("reader"))
-    back = W.partitionBy("k").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, -1)
-    ahead = W.partitionBy("k").orderBy("t", "kind").rowsBetween(1, W.unboundedFollowing)
-    seen = w.unionByName(r).withColumn("prev", F.last("writer", True).over(back)).withColumn("next", F.first("writer", True).over(ahead))
+    by = ("t", "kind", "writer", "reader")  # a total order, so that one direction is the other's reverse
+    back = W.partitionBy("k").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy("k").orderBy(*map(F.desc, by)).rowsBetween(W.unboundedPreceding, -1)
+    seen = w.unionByName(r).withColumn("prev", F.last("writer", True).over(back)).withColumn("next", F.last("writer", True).over(ahead))
     pair = lambda s, d, dep: F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), F.lit(dep).alias("dep"))
     each = F.when(F.col("kind") == 0, F.array(pair("prev", "writer", "ww"))).otherwise(F.array(pair("prev", "reader", "wr"), pair("reader", "next", "rw")))
     return seen.select(F.explode(each).alias("e")).select("e.*").where("src is not null and dst is not null and src <> dst").distinct()

@@ -159,6 +159,23 @@ def test_edges_and_cycles_like_brute_force(spark):
         assert (history.in_cycles(history.adjacent_edges(ops, txns), txns).count() > 0) == want
 
 
+def test_adjacent_edges_in_one_pass_over_a_key(spark):
+    rng = random.Random(3)  # one key; timestamps of writers and readers may be equal
+    rows = [(i, b := rng.randrange(60), b + rng.randrange(1, 9), rng.choice("rwd")) for i in range(80)]
+    ops = spark.createDataFrame([(i, i, "k", op) for i, _, _, op in rows], "txn long, op_no long, k string, op string")
+    txns = spark.createDataFrame([(i, b, c) for i, b, c, _ in rows], "txn long, begin_ts long, commit_ts long")
+    line = sorted((c, 0, i) if op != "r" else (b, 1, i) for i, b, c, op in rows)
+    want = set()
+    for at, (_, kind, i) in enumerate(line):
+        prev = next((x for _, n, x in reversed(line[:at]) if not n), None)
+        after = next((x for _, n, x in line[at + 1 :] if not n), None)
+        want |= {(prev, i, "wr" if kind else "ww")} if prev is not None else set()
+        want |= {(i, after, "rw")} if kind and after is not None else set()
+    got = history.adjacent_edges(ops, txns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()  # it would be read anew for each row
+
+
 def test_concurrent_edges_for_any_width(spark):
     hs = list(histories(5, 8, 3, 9))
     ops, txns = frames(spark, hs)
