@@ -164,11 +164,12 @@ def cycle_members(src: list, dst: list) -> list:
                 if todo:
                     low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
                 if low[node] == order[node]:
-                    at = stack.index(node) if stack[-1] != node else len(stack) - 1
-                    open_.difference_update(stack[at:])
-                    if len(stack) - at > 1:
-                        found += stack[at:]
-                    del stack[at:]
+                    group = [stack.pop()]
+                    while group[-1] != node:  # from the end: what lies below may be the whole history
+                        group.append(stack.pop())
+                    open_.difference_update(group)
+                    if len(group) > 1:
+                        found += group
     return found
 
 

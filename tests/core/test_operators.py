@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +280,14 @@ def test_cycle_members_like_brute_force():
             assert sorted(history.cycle_members(*zip(*edges, strict=True)) if edges else []) == sorted(x for x in range(n) if (x, x) in reach)
 
 
+def test_cycle_members_below_a_long_way():
+    n = 120_000  # a chain of two-cycles: each is found with the whole way below it on the stack
+    src, dst = [*range(n), *range(1, n, 2)], [*range(1, n + 1), *range(0, n, 2)]
+    began = time.process_time()
+    assert sorted(history.cycle_members(src, dst)) == list(range(n))
+    assert time.process_time() - began < 15
+
+
 @pytest.mark.parametrize("cells", [1, 7, 1024])
 def test_segments_like_brute_force(spark, cells):
     rng = random.Random(cells)
