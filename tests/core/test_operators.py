@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import gc, history, learned, metrics, model, recovery, snapshot
 from palimpsest.plans import workload
+from palimpsest.queries import queries
 from palimpsest.schema import LOG
 
 VERSIONS = "k string, commit_ts long, is_delete boolean, v double"
@@ -177,6 +178,15 @@ def test_adjacent_edges_in_one_pass_over_a_key(spark):
     assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()  # it would be read anew for each row
 
 
+def test_edge_counts_read_no_frame_to_the_end(spark):
+    counts = queries()["edge_counts"](spark, "/root/testdata/sf0.001")
+    assert "unboundedfollowing" not in counts._jdf.queryExecution().executedPlan().toString().lower()
+    h = [(i, 10 * i, 10 * i + 15, {"k"}, {"k"} if i % 2 else set()) for i in range(40)]
+    ops, txns = frames(spark, [h])[:2]
+    e = {(r.src, r.dst) for r in history.adjacent_edges(ops, txns).collect()}
+    assert history.graph_size(history.adjacent_edges(ops, txns), txns).first().asDict() == {"n_txns": 40, "n_edges": len(e)}
+
+
 def test_concurrent_edges_for_any_width(spark):
     hs = list(histories(5, 8, 3, 9))
     ops, txns = frames(spark, hs)
