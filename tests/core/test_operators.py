@@ -178,6 +178,26 @@ def test_adjacent_edges_in_one_pass_over_a_key(spark):
     assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()  # it would be read anew for each row
 
 
+PAIRS = {
+    "rw": (history.rw_edges, lambda a, b: a[3] == "r" and b[3] != "r" and a[1] < b[2]),
+}
+
+
+@pytest.mark.parametrize("kind", PAIRS)
+def test_all_pairs_of_a_hot_key(spark, kind):
+    rng = random.Random(5)  # more writers than two blocks hold, equal timestamps, transactions that read and write, and one that did not commit
+    rows = [(i, b := rng.randrange(2_000), b + rng.randrange(1, 90), op) for i in range(800) for op in rng.choice(["r", "w", "d", "rw"])]
+    txns = {i: (i, b, c if i else None) for i, b, c, _ in rows}
+    rows = [(i, txns[i][1], txns[i][2], op) for i, _, _, op in rows]
+    ops = spark.createDataFrame([(i, n, "hot" if i < 790 else "cold", op) for n, (i, _, _, op) in enumerate(rows)], "txn long, op_no long, k string, op string")
+    edges, holds = PAIRS[kind]
+    got = edges(ops, spark.createDataFrame([*txns.values()], "txn long, begin_ts long, commit_ts long"))
+    done = [r for r in rows if r[2] is not None]
+    want = sorted((a[0], b[0], "hot" if a[0] < 790 else "cold") for a in done for b in done if a[0] != b[0] and (a[0] < 790) == (b[0] < 790) and holds(a, b))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert got.where("k = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_edge_counts_read_no_frame_to_the_end(spark):
     counts = queries()["edge_counts"](spark, "/root/testdata/sf0.001")
     assert "unboundedfollowing" not in counts._jdf.queryExecution().executedPlan().toString().lower()
