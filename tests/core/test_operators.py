@@ -181,6 +181,7 @@ def test_adjacent_edges_in_one_pass_over_a_key(spark):
 PAIRS = {
     "rw": (history.rw_edges, lambda a, b: a[3] == "r" and b[3] != "r" and a[1] < b[2]),
     "ww": (history.ww_edges, lambda a, b: a[3] != "r" and b[3] != "r" and a[2] < b[2]),
+    "wr": (history.wr_edges, lambda a, b: a[3] != "r" and b[3] == "r" and b[1] >= a[2]),
 }
 
 
