@@ -10,11 +10,11 @@ from palimpsest.sources.errors import IoError
 
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self._jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
+        self._new, self.root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, root.rstrip("/")  # sought once: each name in it is a call
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return self._new(f"{self.root}/{name}" if name else self.root)
 
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
