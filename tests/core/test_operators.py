@@ -91,6 +91,32 @@ def test_picking_compactions(spark):
     assert got == {"level": 1, "target": 2, "inputs": [2], "overlaps": [3]}
 
 
+def test_overlaps_are_made_once_and_from_lists(spark):
+    rng = random.Random(8)  # wide and narrow ranges, equal keys, ends before starts, equal numbers, files without a number, more files than a list holds
+    rows = [(rng.randrange(4), n % 590 if n else None, lo := rng.randrange(40), lo + rng.choice([0, 1, 9, 30]) - (5 if n % 97 == 1 else 0)) for n in range(600)]
+    files = spark.createDataFrame([(level, n, f"{lo:03d}", f"{hi:03d}" if hi >= 0 else "") for level, n, lo, hi in rows], "level int, file_num long, min_key string, max_key string")
+    ends = [(*r, max(r[3], -1)) for r in rows]
+    less = lambda a, b: a is not None and b is not None and a < b
+    hit = lambda a, b: (a[0] == b[0] and less(a[1], b[1]) or b[0] == a[0] + 1) and a[2] <= b[4] and b[2] <= a[4]
+    order = lambda rows: sorted(rows, key=str)
+    want = order((a[0], a[1], b[0], b[1]) for a in ends for b in ends if hit(a, b))
+    for cells in (1, 2, 7, 1024):
+        assert order(tuple(r) for r in gc.file_overlaps(files, cells).collect()) == want
+    assert gc.file_overlaps(files.limit(0)).count() == 0
+    # 2,000 files over 50 keys, each of them over 30 cells: lists are sent to the cells, not every file
+    wide = spark.range(2000).selectExpr("0 level", "id file_num", "lpad(id % 50, 3, '0') min_key", "lpad(id % 50 + 30, 3, '0') max_key")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = gc.file_overlaps(wide)
+        assert len(got.collect()) == sum(abs(a % 50 - b % 50) <= 30 for a in range(2000) for b in range(a))
+        nodes = [got._jdf.queryExecution().executedPlan()]
+        for p in nodes:
+            nodes += [p.children().apply(i) for i in range(p.children().size())]
+        assert sum(p.metrics().apply("shuffleRecordsWritten").value() for p in nodes if p.nodeName() == "Exchange") < 60_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_watermark(spark):
     t = spark.createDataFrame([(1, 5, None, "Active"), (2, 3, 9, "Committed")], "txn long, begin_ts long, commit_ts long, status string")
     assert gc.gc_watermark(t).first()[0] == 5 and gc.gc_watermark(t.where("txn = 2")).first()[0] == 10 and gc.gc_watermark(t.limit(0)).first()[0] == 1
