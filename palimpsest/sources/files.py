@@ -41,22 +41,24 @@ class Files:
     def create_whole(self, name: str, text: str) -> bool:
         """Like :meth:`create`, but the file is seen whole or not at all.
 
-        It is claimed, written under a hidden name, which Spark's sources pass
-        over, and renamed. Claims that a crash left are removed by :meth:`sweep`.
+        It is written under a hidden name, which Spark's sources pass over and
+        which a single writer can create, and renamed. Hidden files that a crash
+        left are removed by :meth:`sweep`.
         """
         folder, base = name.rsplit("/", 1)
-        claim, hidden = f"{folder}/.{base}.claim", f"{folder}/.{base}.new"
-        if self.exists(name) or not self.create(claim, ""):
+        claim = f"{folder}/.{base}.claim"
+        if self.exists(name) or not self.create(claim, text):
             return False
+        done = False
         try:
             if self.exists(name):  # another one was done between the two questions
                 return False
-            self.delete(hidden)
-            self.create(hidden, text)
-            if not self._fs.rename(self._path(hidden), self._path(name)):
+            done = self._fs.rename(self._path(claim), self._path(name))
+            if not done:
                 raise IoError(f"can't rename to {name}")
         finally:
-            self.delete(claim)
+            if not done:
+                self.delete(claim)
         return True
 
     def sweep(self, folder: str) -> None:
