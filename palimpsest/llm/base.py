@@ -45,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with ``options``) into the shared folder and read it back.
 
     The table survives the loss of executors and cuts the lineage. It goes when
     :func:`discard` is called, or when the application ends.
@@ -55,7 +55,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}-{label}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    small_batches(df).write.parquet(path)
+    small_batches(df).write.options(**options).parquet(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = at

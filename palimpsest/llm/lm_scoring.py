@@ -19,19 +19,21 @@ of their ending. The probability of a word is
 
     P(class | class before) * P(word | class)
 
-with both factors smoothed. The tables of known words are bounded and broadcast;
-rare words stay in a table, which is joined with the rare words of the texts to
-be scored, and with their neighbours. Texts are split twice: once to count
-words, once to be written as ids, of which all else is made.
+with both factors smoothed. The tables of known words are bounded and broadcast.
+
+Texts are split once, into chunks of some TOKENS: a row has the words of many
+texts as codes, and each distinct word once. What is said of a word is then said
+once for a chunk: counts, ranks, neighbours. Rows that meet by word (counts,
+rare words) are packed, all words of a chunk in a bucket of hashes as one row;
+the class of a rare word goes back to its chunks the same way, and each chunk is
+scored as a whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import partial
-from itertools import repeat
-from math import log10
+from math import ceil, log10
 from zlib import crc32
 
 import numpy as np
@@ -40,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import discard, materialise, small_batches, text_batches
 
@@ -58,10 +61,19 @@ HEAVY, LARGE = 1000, 0.01
 CELLS = 2 * CLASSES + 1
 #: Occurrences that the neighbours of its ending count for in the choice of a word's class.
 PRIOR = 10.0
-#: Tokens that are counted at once.
-TOKENS = 3_000_000
-#: Counters of a task are handed on at this many entries.
-ENTRIES = 400_000
+#: A chunk is full beyond as many tokens, or bytes of words; its row passes through heaps and batches as a whole.
+TOKENS, BYTES = 600_000, 16 << 20
+#: Tokens whose bigrams are counted at once.
+AT_ONCE = 2_000_000
+#: A row of a chunk is a page of Parquet by itself: pages are compressed outside the heap, and would else hold 100 rows.
+PAGES = {"parquet.page.size.row.check.min": "1"}
+#: Words of chunks in a bucket of hashes, on average; distinct words of a bucket that are placed at once.
+BUCKET, BLOCK = 100_000, 8192
+#: Counts are told apart up to this one to find the commonest words.
+COMMON = 65_536
+
+#: A row of a chunk: each distinct word once (packed), with its count, hash and ending, and its texts in a row, as places in that list.
+CHUNK = "chunk long, held_out boolean, docs long, tokens long, kinds long, doc_id array<{kind}>, ids binary, n binary, lens binary, data binary, hash binary, tail binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,97 +81,220 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _word_counts(batches):
-    seen: Counter = Counter()
+def _words(lens, data) -> pa.Array:
+    """The words of lengths ``lens`` (uint32) that stand in a row in ``data``."""
+    ends = np.zeros(len(lens) + 1, np.int32)
+    np.cumsum(lens, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _laid_out(words: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """What :func:`_words` takes."""
+    if not len(words):
+        return np.zeros(0, np.uint32), pa.py_buffer(b"")
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.diff(ends).astype(np.uint32), (words.buffers()[2] or pa.py_buffer(b"")).slice(int(ends[0]), int(ends[-1] - ends[0]))
+
+
+def _cut(values, sizes: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` in rows of ``sizes`` elements (bytes of a buffer)."""
+    step = values.itemsize if isinstance(values, np.ndarray) else 1
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64) * step)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def _one(values) -> pa.Array:
+    return _cut(values, np.array([len(values)]))
+
+
+def _rows_by(batches, key: str):
+    """(key, rows as (batch, place)) of rows sorted by key."""
+    at, held = None, []
+    for batch in batches:
+        for i, k in enumerate(batch.column(key).to_pylist()):
+            if held and k != at:
+                yield at, held
+                held = []
+            at = k
+            held.append((batch, i))
+    if held:
+        yield at, held
+
+
+def _values(rows, name: str, kind) -> np.ndarray:
+    """The packed values of all ``rows``, one after the other."""
+    return np.frombuffer(b"".join(batch.column(name)[i].as_buffer() for batch, i in rows), kind)
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
 
-    for _, texts in text_batches(batches):
-        for text in texts:
-            seen.update(text.lower().split())
-            if len(seen) > ENTRIES:
-                yield flush()
-    yield flush()
+def _all_words(rows) -> pa.Array:
+    return _words(_values(rows, "lens", np.uint32), b"".join(batch.column("data")[i].as_buffer() for batch, i in rows))
+
+
+def _each(batches):
+    return ((batch, i) for batch in batches for i in range(batch.num_rows))
+
+
+def _bucketed(hash_: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of words by bucket; of each bucket that has some its number, and how many."""
+    bucket = hash_ % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return order, bucket[first], np.diff(np.append(first, len(bucket)))
 
 
 def _ending(word: bytes) -> int:
     return crc32(word[-3:]) % ENDINGS
 
 
-def _as_ids(batches, known, kind):
-    """Each text as int32 ids: a known word's rank, or -1 - i for the i-th of the text's rare words, which stand beside with their endings."""
-    rank = known.value
-    row = TaskContext.get().partitionId() << 33
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("ids", pa.binary()), ("rare", pa.list_(pa.binary())), ("endings", pa.binary())])
+def _chunks(batches, kind, most: int):
+    """Texts as rows of CHUNK; an id of -1 stands before the first text and after each. Held-out texts have chunks of their own."""
+    at, held = TaskContext.get().partitionId() << 33, {}
+
+    def flush(out):
+        nonlocal at
+        words, doc_ids, sizes, _ = held.pop(out)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        sizes = np.concatenate(sizes)
+        ids = np.full(len(coded) + len(sizes) + 1, -1, np.int32)
+        text = np.ones(len(ids), bool)
+        text[np.concatenate(([0], np.cumsum(sizes + 1)))] = False
+        ids[text] = code = coded.indices.to_numpy()
+        kinds = coded.dictionary
+        lens, data = _laid_out(kinds)
+        each = kinds.to_pylist()
+        doc_id = pa.concat_arrays(doc_ids)
+        cols = [pa.array([at]), pa.array([out]), pa.array([len(sizes)]), pa.array([len(ids) - 1]), pa.array([len(kinds)]), pa.ListArray.from_arrays(pa.array([0, len(doc_id)], pa.int32()), doc_id), _one(ids), _one(np.bincount(code, minlength=len(kinds)).astype(np.uint32)), _one(lens), _one(data), _one(np.fromiter(map(crc32, each), np.uint32, len(each))), _one(np.fromiter(map(_ending, each), np.uint8, len(each)))]
+        at += 1
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in CHUNK.split(", ")])
+
     for batch, texts in text_batches(batches):
-        ids, rare = [], []
-        for text in texts:
-            words = text.lower().split()
-            x = np.fromiter(map(rank.get, words, repeat(-1)), np.int32, len(words))
-            seen: dict[bytes, int] = {}
-            for i in np.flatnonzero(x < 0).tolist():
-                x[i] = -1 - seen.setdefault(words[i], len(seen))
-            ids.append(x.tobytes())
-            rare.append(list(seen))
-        endings = [bytes(map(_ending, x)) for x in rare]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), batch.column("doc_id"), batch.column("held_out"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(endings, pa.binary())], schema=schema)
-        row += len(texts)
-
-
-def _flat(held: list[pa.RecordBatch], end: int) -> np.ndarray:
-    """The ids of all texts in a row, an end before the first and after each; a rare word is ``end`` + 1 + its ending."""
-    stop = np.array([end], np.int32)
-    out = [stop]
-    for batch in held:
-        for raw, e in zip(batch.column("ids"), batch.column("endings"), strict=True):
-            x = np.frombuffer(raw.as_buffer(), np.int32)
-            far = np.flatnonzero(x < 0)
-            if len(far):
-                x = x.copy()
-                x[far] = np.frombuffer(e.as_buffer(), np.uint8)[-1 - x[far]] + np.int32(end + 1)
-            out += [x, stop]
-    return np.concatenate(out)
+        outs = batch.column("held_out").to_pylist()
+        for out in set(outs):
+            split, sizes = [], []
+            for text, x in zip(texts, outs, strict=True):
+                if x == out:
+                    words = text.lower().split()
+                    split += words
+                    sizes.append(len(words))
+            so_far = held.setdefault(out, [[], [], [], np.zeros(2, np.int64)])
+            so_far[0].append(pa.array(split, pa.binary()))
+            so_far[1].append(batch.column("doc_id").cast(kind).filter(pa.array([x == out for x in outs])))
+            so_far[2].append(np.array(sizes, np.int64))
+            so_far[3] += len(split), sum(map(len, split))
+            if so_far[3][0] > most or so_far[3][1] > BYTES:
+                yield flush(out)
+    for out in list(held):
+        yield flush(out)
+
+
+def _to_count(batches, buckets: int):
+    """The words of each chunk and their counts, by bucket."""
+    for row in _each(batches):
+        order, bucket, size = _bucketed(_values([row], "hash", np.uint32), buckets)
+        lens, data = _laid_out(_all_words([row]).take(pa.array(order)))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), _cut(_values([row], "n", np.uint32)[order], size), _cut(lens, size), _cut(data, _sums(lens, size))], names=["bucket", "n", "lens", "data"])
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums of runs of ``sizes`` elements."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def _counted(batches):
+    """Of rows sorted by bucket: a row per bucket, with each word once."""
+    for _, rows in _rows_by(batches, "bucket"):
+        coded = _all_words(rows).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), _values(rows, "n", np.uint32), len(coded.dictionary)).astype(np.int64)
+        lens, data = _laid_out(coded.dictionary)
+        yield pa.RecordBatch.from_arrays([pa.array([len(n)]), _one(n), _one(lens), _one(data)], names=["kinds", "n", "lens", "data"])
+
+
+def _how_common(batches, longest: int):
+    """How many words of up to ``longest`` bytes have each count; those from COMMON on are one."""
+    for row in _each(batches):
+        n = np.minimum(_values([row], "n", np.int64), COMMON)[_values([row], "lens", np.uint32) <= longest]
+        kinds = np.bincount(n)
+        n = np.flatnonzero(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(kinds[n])], names=["n", "kinds"])
+
+
+def _unpacked(batches, least: int, longest: int | None, names: list[str]):
+    """A row per word of ``least`` occurrences or more."""
+    for row in _each(batches):
+        cols = [_all_words([row]), pa.array(_values([row], "n", np.int64))]
+        if "label" in names:
+            cols.append(pa.array(_values([row], "label", np.uint8).astype(np.int32)))
+        out = pa.RecordBatch.from_arrays(cols, names=names)
+        yield out if longest is None else out.filter(pa.array((_values([row], "n", np.int64) >= least) & (_values([row], "lens", np.uint32) <= longest)))
+
+
+def _ranked(batches, known):
+    """Chunks with ids in place of codes: a known word's rank, then the end, then the chunk's rare words, which alone stay in the list of its words."""
+    known = known.value
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = (batch, i)
+            words = _all_words([row])
+            rank = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int32)
+            far = rank < 0
+            kinds = int(far.sum())
+            rank[far] = len(known) + 1 + np.arange(kinds)
+            ids = np.append(rank, np.int32(len(known)))[_values([row], "ids", np.int32)]
+            lens, data = _laid_out(words.filter(pa.array(far)))
+            new = {"kinds": pa.array([kinds]), "ids": _one(ids), "n": _one(b""), "lens": _one(lens), "data": _one(data), "hash": _one(_values([row], "hash", np.uint32)[far]), "tail": _one(_values([row], "tail", np.uint8)[far])}
+            one = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([new.get(x, one.column(x)) for x in one.schema.names], names=one.schema.names)
+
+
+def _flat(ids: np.ndarray, tail: np.ndarray, end: int) -> np.ndarray:
+    """Ids where a rare word is ``end`` + 1 + its ending."""
+    far = np.flatnonzero(ids > end)
+    ids = ids.copy()
+    ids[far] = tail[ids[far] - end - 1] + np.int32(end + 1)
+    return ids
 
 
 def _pieces(batches, end: int):
-    """(ids in a row, batches) of some TOKENS at a time."""
+    """The ids of chunks in a row, of some AT_ONCE tokens at a time."""
     held, size = [], 0
-    for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            held.append(part)
-            size += pc.sum(pc.binary_length(part.column("ids"))).as_py() // 4
-            if size > TOKENS:
-                yield _flat(held, end), held
-                held, size = [], 0
+    for row in _each(batches):
+        u = _flat(_values([row], "ids", np.int32), _values([row], "tail", np.uint8), end)
+        held.append(u[1:] if held else u)  # the end before is that of the chunk before
+        size += len(u)
+        if size > AT_ONCE:
+            yield np.concatenate(held)
+            held, size = [], 0
     if held:
-        yield _flat(held, end), held
+        yield np.concatenate(held)
 
 
 def _unit_bigrams(batches, units, end: int):
     unit, cells = units.value.astype(np.int32), np.zeros(UNITS * UNITS, np.int64)
-    for u, _ in _pieces(batches, end):
+    for u in _pieces(batches, end):
         x = unit[u]
         cells += np.bincount(x[:-1] * UNITS + x[1:], minlength=UNITS * UNITS)
     at = np.flatnonzero(cells)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells[at], pa.int64())], names=["cell", "n"])
 
 
-def _packed(code: np.ndarray):
-    """Of codes (id * CELLS + cell): ids, their cells as bytes, the counts as uint32."""
+def _tally(code: np.ndarray):
+    """Of codes (id * CELLS + cell) each once: id, cell as a byte, count as uint32."""
     code.sort()
     first = np.flatnonzero(np.diff(code, prepend=-1))
     n = np.diff(np.append(first, len(code)))
     id_, cell = np.divmod(code[first], CELLS)
-    ends = np.append(np.flatnonzero(np.diff(id_, prepend=-1)), len(id_))
+    return id_, cell.astype(np.uint8), n.astype(np.uint32)
 
-    def binary(values):
-        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-    return id_[ends[:-1]], binary(cell.astype(np.uint8)), binary(n.astype(np.uint32))
+def _packed(code: np.ndarray):
+    """Of codes (id * CELLS + cell): ids, their cells as bytes, the counts as uint32."""
+    id_, cell, n = _tally(code)
+    first = np.flatnonzero(np.diff(id_, prepend=-1))
+    size = np.diff(np.append(first, len(id_)))
+    return id_[first], _cut(cell, size), _cut(n, size)
 
 
 def _contexts(batches, tables, end: int, sums_only: bool):
@@ -167,7 +302,7 @@ def _contexts(batches, tables, end: int, sums_only: bool):
     label, unit = (x.astype(np.int32) for x in tables.value)
     sums, by_ending = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(ENDINGS * CELLS, np.int64)
     schema = pa.schema([("id", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
-    for u, _ in _pieces(batches, end):
+    for u in _pieces(batches, end):
         a, b = u[:-1], u[1:]
         c = label[u]
         sums += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
@@ -361,64 +496,98 @@ def exchange_words(ids: DataFrame, label: np.ndarray, unit: np.ndarray) -> tuple
     return *best[1:], moved
 
 
-def _rare_words(u: np.ndarray, held: list[pa.RecordBatch], end: int):
-    """Places of rare words in ``u``, and where the words stand in the list of all rare words of the texts, which comes third."""
-    lists = pa.chunked_array([x.column("rare") for x in held]).combine_chunks()
-    first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))[:-1]
-    size = pc.binary_length(pa.chunked_array([x.column("ids") for x in held])).to_numpy() // 4
-    raw = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for part in held for x in part.column("ids")] or [np.zeros(0, np.int32)])
-    far = np.flatnonzero(raw < 0)
-    return np.flatnonzero(u > end), np.repeat(first, size)[far] - 1 - raw[far], lists.flatten()
-
-
-def _rare_contexts(batches, labels, end: int):
-    """Each rare word of a piece once: the cells of its known neighbours, and how often it stands there."""
+def _rare_contexts(batches, labels, end: int, buckets: int):
+    """The rare words of each chunk by bucket: their places in its list and endings; of texts that are not held out the cells of their known neighbours, and how often they stand there."""
     label = labels.value.astype(np.int64)
-    for u, held in _pieces(batches, end):
-        at, word, all_ = _rare_words(u, held, end)
-        if len(at):
-            coded = all_.dictionary_encode()
-            word = coded.indices.to_numpy()[word].astype(np.int64)
+    for row in _each(batches):
+        hash_, tail = _values([row], "hash", np.uint32), _values([row], "tail", np.uint8)
+        if not len(hash_):
+            continue
+        order, bucket, n = _bucketed(hash_, buckets)
+        size, cells, counts = np.zeros(len(order), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        if not row[0].column("held_out")[row[1]].as_py():
+            ids = _values([row], "ids", np.int32)
+            u, at, place = _flat(ids, tail, end), np.flatnonzero(ids > end), np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            word = place[ids[at] - end - 1]
             (after, x), (before, y) = ((z <= end, z[z <= end]) for z in (u[at + 1], u[at - 1]))
-            ids, cells, counts = _packed(np.concatenate((word * CELLS + 2 * CLASSES, word[after] * CELLS + label[x], word[before] * CELLS + CLASSES + label[y])))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(ids)), cells, counts], names=["word", "cells", "counts"])
+            id_, cells, counts = _tally(np.concatenate((word * CELLS + 2 * CLASSES, word[after] * CELLS + label[x], word[before] * CELLS + CLASSES + label[y])))
+            size = np.bincount(id_, minlength=len(order)).astype(np.uint8)
+        lens, data = _laid_out(_all_words([row]).take(pa.array(order)))
+        chunk, many = row[0].column("chunk")[row[1]].as_py(), _sums(size, n)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(len(n), chunk)), _cut(order.astype(np.int32), n), _cut(tail[order], n), _cut(lens, n), _cut(data, _sums(lens, n)), _cut(size, n), _cut(cells, many), _cut(counts, many)], names=["bucket", "chunk", "place", "tail", "lens", "data", "size", "cells", "counts"])
 
 
-def _placed(batches, tables):
-    """Of rows sorted by word: its count and best class; then what this adds to the bigrams of classes, which had it in the class of its ending."""
-    follow, size, usual, classes = tables.value
-    extra = np.zeros((CLASSES, CLASSES))
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("label", pa.int32()), ("cell", pa.int32()), ("m", pa.float64())])
-    for words, cells in _by_key(batches, "word"):
-        r, p, n = cells[:, :CLASSES], cells[:, CLASSES : 2 * CLASSES], cells[:, 2 * CLASSES]
-        e = np.fromiter(map(_ending, words), np.int64, len(words))
-        more = usual[e] * prior_share(n)[:, None]
-        best = likelihoods(r + more[:, :CLASSES], p + more[:, CLASSES:], 0 * n, n + PRIOR * prior_share(n), follow, size).argmax(1)
-        for sign, c in ((1, best), (-1, classes[e])):
-            np.add.at(extra, c, sign * r)
-            np.add.at(extra.T, c, sign * p)
-        none = pa.nulls(len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64)), pa.array(best, pa.int32()), none.cast(pa.int32()), none.cast(pa.float64())], schema=schema)
-    at = np.flatnonzero(extra)
-    none = pa.nulls(len(at))
-    yield pa.RecordBatch.from_arrays([none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(at, pa.int32()), pa.array(extra.ravel()[at])], schema=schema)
+#: Columns of chunks for :func:`_rare_contexts`, its rows, and those of what is said of rare words.
+RARE = ("chunk", "held_out", "ids", "lens", "data", "hash", "tail")
+CONTEXTS = "bucket int, chunk long, place binary, tail binary, lens binary, data binary, size binary, cells binary, counts binary"
+PLACED = "bucket int, chunk long, place binary, n binary, label binary, lens binary, data binary, cell int, m double"
+
+
+def _placed_rows(**cols):
+    """Rows of PLACED; columns that are not given are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    schema, n = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, PLACED.split(", "))]), len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
 
+def _told(rows, n: np.ndarray, label: np.ndarray):
+    """What goes back to each chunk: of its words in this bucket the counts and classes."""
+    size = np.array([len(batch.column("place")[i].as_buffer()) // 4 for batch, i in rows])
+    return _placed_rows(chunk=pa.array([batch.column("chunk")[i].as_py() for batch, i in rows]), place=_cut(_values(rows, "place", np.int32), size), n=_cut(n.astype(np.int64), size), label=_cut(label.astype(np.uint8), size))
 
-def ending(word: Column) -> Column:
-    """A hash of the last three bytes."""
-    return F.pmod(F.crc32(F.substring(word, -3, 3)), F.lit(ENDINGS)).cast("int")
 
+def _placed(batches, tables):
+    """Of rows sorted by bucket: the count and best class of each word, as rows of the bucket and of each chunk; in the end (cells) what this adds to the bigrams of classes, which had the words in the classes of their endings, then occurrences and words by class."""
+    follow, size, usual, classes = tables.value
+    extra, times, kinds = np.zeros((CLASSES, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES)
+    for bucket, rows in _rows_by(batches, "bucket"):
+        coded = _all_words(rows).dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary
+        e, n, best = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        e[word] = _values(rows, "tail", np.uint8)
+        of = np.repeat(word, _values(rows, "size", np.uint8))
+        order = np.argsort(of, kind="stable")
+        of, cell, count = of[order].astype(np.int64), _values(rows, "cells", np.uint8)[order], _values(rows, "counts", np.uint32)[order]
+        for a in range(0, len(words), BLOCK):
+            b = min(a + BLOCK, len(words))
+            i, j = np.searchsorted(of, (a, b))
+            cells = np.bincount((of[i:j] - a) * CELLS + cell[i:j], count[i:j], (b - a) * CELLS).reshape(b - a, CELLS)
+            r, p, k = cells[:, :CLASSES], cells[:, CLASSES : 2 * CLASSES], cells[:, 2 * CLASSES]
+            more = usual[e[a:b]] * prior_share(k)[:, None]
+            to = likelihoods(r + more[:, :CLASSES], p + more[:, CLASSES:], 0 * k, k + PRIOR * prior_share(k), follow, size).argmax(1)
+            had = classes[e[a:b]]
+            n[a:b], best[a:b] = k, np.where(k > 0, to, had)  # words of held-out texts alone go by their ending
+            moved = np.eye(CLASSES)[best[a:b]] - np.eye(CLASSES)[had]
+            extra += moved.T @ r + p.T @ moved
+        yield _told(rows, n[word], best[word])
+        seen = n > 0
+        times += np.bincount(best[seen], n[seen], CLASSES)
+        kinds += np.bincount(best[seen], minlength=CLASSES)
+        lens, data = _laid_out(words.filter(pa.array(seen)))
+        yield _placed_rows(bucket=pa.array([bucket]), n=_one(n[seen]), label=_one(best[seen].astype(np.uint8)), lens=_one(lens), data=_one(data))
+    sums = np.concatenate((extra.ravel(), times, kinds))
+    at = np.flatnonzero(sums)
+    yield _placed_rows(cell=pa.array(at), m=pa.array(sums[at]))
 
-def numbers(values) -> Column:
-    """A literal array of doubles."""
-    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
+
+def _looked_up(batches, endings: np.ndarray):
+    """Of rows sorted by bucket, the model's first: the count and class of the words of each chunk, as the model has them."""
+    for _, rows in _rows_by(batches, "bucket"):
+        mine = [x for x in rows if x[0].column("chunk")[x[1]].as_py() is None]
+        rows = rows[len(mine) :]
+        if rows:
+            n, label = (np.append(_values(mine, x, kind), 0).astype(np.int64) for x, kind in (("n", np.int64), ("label", np.uint8)))
+            at = pc.fill_null(pc.index_in(_all_words(rows), value_set=_all_words(mine)), -1).to_numpy()
+            yield _told(rows, n[at], np.where(at < 0, endings[_values(rows, "tail", np.uint8)], label[at]))
 
 
 @dataclass
 class BrownModel:
-    """What training leaves: tables of bounded size, and ``rare`` (word, n, label) of all other training words."""
+    """What training leaves: tables of bounded size, and ``placed`` (packed, in ``buckets`` by hash) of all other training words."""
 
-    rare: DataFrame
+    placed: DataFrame = field(repr=False)
+    buckets: int
     tokens: int
     types: int
     documents: int
@@ -431,39 +600,70 @@ class BrownModel:
     moved: list[int] = field(default_factory=list)  # known words that moved, by round
     base: float = 0.0  # log10 of the divisor
 
+    @property
+    def rare(self) -> DataFrame:
+        """(word, n, label) of all training words that are not known."""
+        rows = self.placed.where("bucket is not null").select("n", "label", "lens", "data")
+        return rows.mapInArrow(partial(_unpacked, least=0, longest=None, names=["word", "n", "label"]), "word binary, n long, label int")
+
     @property
     def converged(self) -> bool:
         return not self.moved or self.moved[-1] == 0
 
 
-def as_ids(docs: DataFrame, known: dict[bytes, int], *, id_col: str, text_col: str) -> DataFrame:
-    """``rid`` (one per row), ``doc_id``, ``held_out``, ``ids``, ``rare`` and ``endings`` of each row of ``docs``, written once."""
+def split_texts(docs: DataFrame, *, id_col: str | None, text_col: str) -> DataFrame:
+    """The rows of ``docs`` as chunks (:data:`CHUNK`), written once; without ``id_col`` no row is held out or has an id."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    slim = small_batches(docs).select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    id_, out = (F.col(id_col), held_out(F.col(id_col))) if id_col else (F.lit(None).cast("long"), F.lit(False))
+    slim = small_batches(docs).select(id_.alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType
-    step = partial(_as_ids, known=docs.sparkSession.sparkContext.broadcast(known), kind=to_arrow_type(kind))
-    return materialise(slim.mapInArrow(step, f"rid long, doc_id {kind.simpleString()}, held_out boolean, ids binary, rare array<binary>, endings binary"), "ids")
+    return materialise(slim.mapInArrow(partial(_chunks, kind=to_arrow_type(kind), most=TOKENS), CHUNK.format(kind=kind.simpleString())), "chunks", **PAGES)
 
 
-def count_words(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(word, n) of all texts."""
-    slim = small_batches(docs).select(F.col(text_col).alias("text"))
-    return materialise(slim.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def as_ids(chunks: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """Chunks by the ranks of ``known``, written once; ``chunks`` (of :func:`split_texts`) are deleted."""
+    words = chunks.sparkSession.sparkContext.broadcast(pa.array(list(known), pa.binary()))
+    ids = materialise(chunks.mapInArrow(partial(_ranked, known=words), chunks.schema), "ids", **PAGES)
+    discard(chunks)
+    return ids
+
+
+def by_bucket(rows: DataFrame, *then: Column) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", *then)
+
+
+def bucket_count(chunks: DataFrame) -> int:
+    """For about BUCKET words of chunks each, and some for each partition of a shuffle."""
+    kinds = chunks.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    return max(ceil(kinds / BUCKET), 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def count_words(chunks: DataFrame) -> DataFrame:
+    """The distinct words of all ``chunks`` and their counts, a packed row per bucket; ``kinds``: how many."""
+    rows = chunks.select("n", "lens", "data", "hash").mapInArrow(partial(_to_count, buckets=bucket_count(chunks)), "bucket int, n binary, lens binary, data binary")
+    return materialise(by_bucket(rows).mapInArrow(_counted, "kinds long, n binary, lens binary, data binary"), "words")
 
 
 def known_words(counts: DataFrame) -> dict[bytes, int]:
     """The KNOWN commonest words and how often they stand; the commonest first."""
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    left, least = KNOWN, COMMON + 1
+    for r in counts.select("n", "lens").mapInArrow(partial(_how_common, longest=LONGEST), "n long, kinds long").groupBy("n").agg(F.sum("kinds").alias("kinds")).orderBy(F.desc("n")).collect():  # at most COMMON rows
+        if left <= 0:
+            break
+        left, least = left - r.kinds, r.n
+    rows = counts.select("n", "lens", "data").mapInArrow(partial(_unpacked, least=least, longest=LONGEST, names=["word", "n"]), "word binary, n long")
+    top = rows.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
     return dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
 
 
 def fit_ids(ids: DataFrame, counts: DataFrame, known: dict[bytes, int]) -> BrownModel:
-    """Train on the rows of ``ids`` (:func:`as_ids` with the ranks of ``known``); ``counts``: :func:`count_words` of the same texts."""
-    spark = ids.sparkSession
-    share, parts = spark.sparkContext.broadcast, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    documents, end = ids.count(), len(known)
+    """Train on the rows of ``ids`` (:func:`as_ids` by ``known``) that are not held out; ``counts``: :func:`count_words` of them."""
+    spark, all_ids = ids.sparkSession, ids
+    share, end = spark.sparkContext.broadcast, len(known)
+    types = counts.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    ids = all_ids.where("not held_out").select("ids", "tail")
+    documents, tokens = all_ids.where("not held_out").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     home = np.fromiter(map(_ending, known), np.int64, end) + CORE
     home[:CORE] = np.arange(min(end, CORE))
     unit = np.concatenate((home, [UNITS - 1], CORE + np.arange(ENDINGS)))
@@ -474,91 +674,61 @@ def fit_ids(ids: DataFrame, counts: DataFrame, known: dict[bytes, int]) -> Brown
     times = np.append(np.fromiter(known.values(), np.int64, end), documents)
     size, follow = m.sum(0), followers(m)
     label, endings = label[: end + 1], label[end + 1 :].astype(np.int64)
-    seen = ids.where(F.size("rare") > 0).select("ids", "rare", "endings").mapInArrow(partial(_rare_contexts, labels=share(label), end=end), "word binary, cells binary, counts binary")
-    placed = seen.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(partial(_placed, tables=share((follow, size, usual, endings))), "word binary, n long, label int, cell int, m double")
-    placed = materialise(placed, "placed")
-    for r in placed.where("word is null").groupBy("cell").agg(F.sum("m").alias("m")).collect():  # at most CLASSES x CLASSES rows
-        m[r.cell // CLASSES, r.cell % CLASSES] += r.m
-    rare = placed.where("word is not null").select("word", "n", "label")
-    size, kinds = np.bincount(label, times, CLASSES), np.bincount(label[:-1], minlength=CLASSES).astype(float)
-    for r in rare.groupBy("label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():  # a row per class
-        size[r.label] += r.n
-        kinds[r.label] += r.kinds
-    tokens = int(words) + documents
+    buckets = bucket_count(all_ids)
+    seen = all_ids.select(*RARE).mapInArrow(partial(_rare_contexts, labels=share(label), end=end, buckets=buckets), CONTEXTS)
+    placed = materialise(by_bucket(seen).mapInArrow(partial(_placed, tables=share((follow, size, usual, endings))), PLACED), "placed")
+    sums = np.zeros(CLASSES * CLASSES + 2 * CLASSES)
+    for r in placed.where("cell is not null").groupBy("cell").agg(F.sum("m").alias("m")).collect():  # at most as many rows as cells
+        sums[r.cell] = r.m
+    m += sums[: CLASSES * CLASSES].reshape(CLASSES, CLASSES)
+    size = np.bincount(label, times, CLASSES) + sums[-2 * CLASSES : -CLASSES]
+    kinds = np.bincount(label[:-1], minlength=CLASSES) + sums[-CLASSES:]
     prior = (size + 1) / (tokens + CLASSES)
     transition = np.log10((m + BETA * prior) / (m.sum(1, keepdims=True) + BETA))
     emission = np.log10(size + EMIT * (kinds + 1))
     all_ = int(types) + int(documents > 0)
-    return BrownModel(rare, tokens, all_, documents, {w: i for i, w in enumerate(known)}, times, label, endings, transition, emission, moved, log10(tokens + ALPHA * (all_ + 1)))
-
-
-def class_by_ending(word: Column, endings: np.ndarray) -> Column:
-    return F.element_at(numbers(endings), ending(word) + 1).cast("int")
+    return BrownModel(placed, buckets, tokens, all_, documents, {w: i for i, w in enumerate(known)}, times, label, endings, transition, emission, moved, log10(tokens + ALPHA * (all_ + 1)))
 
 
 def fit(docs: DataFrame, *, text_col: str = "text") -> BrownModel:
     """Train on all rows of ``docs``; null and empty texts are only an end."""
-    counts = count_words(docs, text_col=text_col)
+    chunks = split_texts(docs, id_col=None, text_col=text_col)
+    counts = count_words(chunks)
     known = known_words(counts)
-    return fit_ids(as_ids(docs, {w: i for i, w in enumerate(known)}, id_col=text_col, text_col=text_col), counts, known)
-
-
-def _scored(batches, model, end: int, kind):
-    """Per text a row of what its known words and their bigrams give; for each place of a rare word, and for two of them side by side, a row to be joined."""
-    times, label, transition, emission, base = model.value
-    logs, inner = (np.append(np.log10(times + x), 0.0) for x in (ALPHA, EMIT))  # the last is for rare words
-    inner, label = inner - emission[np.append(label, 0)], np.append(label, 0).astype(np.int64)
-    inner[end:] = 0.0  # the end is sure within its class
-    known_end = int(times[end] > 0)
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("next", pa.binary()), ("left", pa.int32()), ("right", pa.int32())])
-
-    def batch_of(n, **cols):
-        return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    for u, held in _pieces(batches, end):
-        rows = pa.Table.from_batches(held)
-        rid = rows.column("rid").to_numpy()
-        first = np.concatenate(([0], np.flatnonzero(u == end)[1:]))  # the end before each text, and the last one
-        here, v = u <= end, np.minimum(u, end + 1)
-        c, token = label[v], logs[v][1:]
-        step = np.where(here[:-1] & here[1:], transition[c[:-1], c[1:]], 0.0) + inner[v][1:]
-        sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
-        n = np.diff(first)
-        yield batch_of(len(rid), rid=pa.array(rid), doc_id=rows.column("doc_id").combine_chunks(), held_out=rows.column("held_out").combine_chunks(), n_tokens=pa.array(n), n_known=pa.array(sums(here[1:].astype(np.int64)) - 1 + known_end), base_score=pa.array(sums(token) - n * base), score=pa.array(sums(step)))
-        at, place, words = _rare_words(u, held, end)
-        if len(at):
-            text = np.searchsorted(first, at) - 1
-            side = lambda to: pa.array(c[to], pa.int32(), mask=~here[to])
-            yield batch_of(len(at), rid=pa.array(rid[text]), word=words.take(pa.array(place)), left=side(at - 1), right=side(at + 1))
-            two = np.flatnonzero(np.diff(at) == 1)
-            yield batch_of(len(two), rid=pa.array(rid[text[two]]), word=words.take(pa.array(place[two])), next=words.take(pa.array(place[two + 1])))
-
-
-def score_ids(ids: DataFrame, model: BrownModel) -> DataFrame:
-    """The second half of :func:`score`."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind, end = ids.schema["doc_id"].dataType, len(model.known)
-    tables = ids.sparkSession.sparkContext.broadcast((model.times, model.label, model.transition, model.emission, model.base))
-    schema = f"rid long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, next binary, left int, right int"
-    parts = materialise(ids.mapInArrow(partial(_scored, model=tables, end=end, kind=to_arrow_type(kind)), schema), "scored")
-    follow, divisor = numbers(model.transition.ravel()), numbers(model.emission)
-    step = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.element_at(follow, F.coalesce(a, F.lit(0)) * CLASSES + F.coalesce(b, F.lit(0)) + 1)).otherwise(0.0)
-
-    def classed(df: DataFrame, word: str, out: str, n: str) -> DataFrame:
-        side = model.rare.select(F.col("word").alias("_w"), F.col("n").alias(n), F.col("label").alias(out))
-        return df.join(side, F.col(word) == F.col("_w"), "left").drop("_w").withColumn(out, F.coalesce(out, class_by_ending(F.col(word), model.endings)))
-
-    one = classed(parts.where("word is not null and next is null").select("rid", "word", "left", "right"), "word", "c", "n")
-    log, inner = (F.log10(F.coalesce("n", F.lit(0)) + x) for x in (ALPHA, EMIT))
-    gain = inner - F.element_at(divisor, F.col("c") + 1) + step("left", "c") + step("c", "right")
-    one = one.select("rid", log.alias("more"), gain.alias("gain"), F.coalesce(F.col("n") > 0, F.lit(False)).cast("long").alias("also"))
-    two = classed(classed(parts.where("next is not null").select("rid", "word", "next"), "word", "c", "n"), "next", "d", "k")
-    two = two.select("rid", F.lit(0.0).alias("more"), step("c", "d").alias("gain"), F.lit(0).cast("long").alias("also"))
-    found = one.unionByName(two).groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("more", "gain", "also")))
-    rows = parts.where("word is null").select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(found, "rid", "left")
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return rows.select("doc_id", "held_out", "n_tokens", plus("n_known", "also"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "more"), plus("score", "gain"))
+    return fit_ids(as_ids(chunks, known), counts, known)
+
+
+def _scored(batches, model, end: int, schema: pa.Schema):
+    """Of rows sorted by chunk, what is told of its rare words before its texts: a row per text."""
+    times, label, transition, emission, base, tokens = model.value
+    for chunk, rows in _rows_by(batches, "chunk"):
+        (batch, i), told = rows[-1], rows[:-1]
+        ids, kinds, place = _values(rows[-1:], "ids", np.int32), batch.column("kinds")[i].as_py(), _values(told, "place", np.int32)
+        if len(place) != kinds:
+            raise RuntimeError(f"{len(place)} of {kinds} rare words of chunk {chunk} are told")
+        n, c = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+        n[place], c[place] = _values(told, "n", np.int64), _values(told, "label", np.uint8)
+        n, c = np.concatenate((times, n)), np.concatenate((label, c))
+        inner = np.log10(n + EMIT) - emission[c]
+        inner[end] = 0.0  # the end is sure within its class
+        by_class = c[ids]
+        step, token, known = transition[by_class[:-1], by_class[1:]] + inner[ids[1:]], np.log10(n + ALPHA)[ids[1:]], (n > 0)[ids[1:]]
+        first = np.flatnonzero(ids == end)[:-1]  # the end before each text
+        size = np.diff(np.append(first, len(ids) - 1))
+        cols = [batch.column("doc_id").slice(i, 1).flatten(), pa.array(np.full(len(first), batch.column("held_out")[i].as_py())), pa.array(size), pa.array(np.add.reduceat(known, first, dtype=np.int64)), pa.array(np.full(len(first), tokens)), pa.array(np.add.reduceat(token, first) - size * base), pa.array(np.add.reduceat(step, first))]
+        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def score_ids(ids: DataFrame, told: DataFrame, model: BrownModel) -> DataFrame:
+    """The scores of all texts of ``ids``; ``told``: rows of PLACED for each chunk that has rare words."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = ids.schema["doc_id"].dataType.elementType
+    tables = ids.sparkSession.sparkContext.broadcast((model.times, model.label.astype(np.int64), model.transition, model.emission, model.base, model.tokens))
+    rows = ids.select("chunk", "kinds", "held_out", "doc_id", "ids").unionByName(told.where("chunk is not null").select("chunk", "place", "n", "label"), allowMissingColumns=True)
+    rows = rows.repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk").sortWithinPartitions("chunk", F.col("ids").isNotNull())
+    schema = T.StructType.fromDDL(f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(partial(_scored, model=tables, end=len(model.known), schema=to_arrow_schema(schema)), schema)
 
 
 def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -569,12 +739,18 @@ def score(docs: DataFrame, model: BrownModel, *, id_col: str = "doc_id", text_co
     are an end alone. Repeated rows give repeated rows, an empty table an empty
     one. Perplexity is 10 ** (-score / n_tokens).
     """
-    return score_ids(as_ids(docs, model.known, id_col=id_col, text_col=text_col), model)
+    ids = as_ids(split_texts(docs, id_col=id_col, text_col=text_col), model.known)
+    asked = ids.select(*RARE).withColumn("held_out", F.lit(True)).mapInArrow(partial(_rare_contexts, labels=ids.sparkSession.sparkContext.broadcast(model.label), end=len(model.known), buckets=model.buckets), CONTEXTS)
+    rows = model.placed.where("bucket is not null").select("bucket", "n", "label", "lens", "data").unionByName(asked.select("bucket", "chunk", "place", "tail", "lens", "data"), allowMissingColumns=True)
+    told = by_bucket(rows, F.col("chunk").isNotNull()).mapInArrow(partial(_looked_up, endings=model.endings), PLACED)
+    return score_ids(ids, told, model)
 
 
 def brown_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`fit` on the rows that :func:`held_out` leaves, then :func:`score` of all rows; the ids are made once for both."""
-    counts = count_words(docs.where(~held_out(F.col(id_col))), text_col=text_col)
+    """:func:`fit` on the rows that :func:`held_out` leaves, then :func:`score` of all rows; texts are split once, and rare words meet once, for both."""
+    chunks = split_texts(docs, id_col=id_col, text_col=text_col)
+    counts = count_words(chunks.where("not held_out"))
     known = known_words(counts)
-    ids = as_ids(docs, {w: i for i, w in enumerate(known)}, id_col=id_col, text_col=text_col)
-    return score_ids(ids, fit_ids(ids.where("not held_out"), counts, known))
+    ids = as_ids(chunks, known)
+    model = fit_ids(ids, counts, known)
+    return score_ids(ids, model.placed, model)

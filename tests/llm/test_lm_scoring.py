@@ -141,3 +141,39 @@ def test_held_out_perplexity(spark):
     """Better than with classes by the last bytes alone (-4.02), or with words of 20 occurrences by themselves (-3.895)."""
     rows = brown_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) s").first()
     assert rows.s > -3.895
+
+
+def test_rows_written_are_by_distinct_words(spark, monkeypatch):
+    """Rare words meet once for a chunk, not once for each place: no table has as many rows as there are tokens."""
+    written = []
+
+    def counted(df, label, write=lm_scoring.materialise, **options):
+        out = write(df, label, **options)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "KNOWN", 2)
+    monkeypatch.setattr(lm_scoring, "materialise", counted)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(20, size=500))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    hold(brown_scores(docs).collect(), list(brute_base(rows)))
+    assert written and max(n for _, n in written) < 2_000, written
+
+
+def test_many_chunks_like_one(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KNOWN", 300)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.crossJoin(spark.range(8)).selectExpr("doc_id + 1000000 * id doc_id", "text").coalesce(1)
+    one = {r.doc_id: r for r in brown_scores(docs).collect()}
+    m = fit(docs)
+    monkeypatch.setattr(lm_scoring, "TOKENS", 1000)
+    assert lm_scoring.split_texts(docs, id_col="doc_id", text_col="text").count() > 4
+    many = {r.doc_id: r for r in brown_scores(docs).collect()}
+    assert one.keys() == many.keys() and len(one) == docs.count()
+    for k, r in many.items():
+        assert tuple(r[:5]) == tuple(one[k][:5]) and tuple(r[5:]) == pytest.approx(tuple(one[k][5:]))
+    again = fit(docs)
+    assert (again.tokens, again.types, again.documents, again.rare.count()) == (m.tokens, m.types, m.documents, m.rare.count())
+    for a, b in zip(sorted(score(docs, m).collect()), sorted(score(docs, again).collect()), strict=True):
+        assert tuple(a[:5]) == tuple(b[:5]) and tuple(a[5:]) == pytest.approx(tuple(b[5:]))
